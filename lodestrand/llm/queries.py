@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fixity, sharding, tool_calls
+from . import exact_dedup, fixity, packing, rollups, sharding, tool_calls, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_tool_calls": tool_calls.op2_tool_calls,
     "op3_sharding": sharding.op3_sharding,
+    "op4_packing": packing.op4_packing,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_token_counts": rollups.op6_token_counts,
     "op7_fixity": fixity.op7_fixity,
 }
 

@@ -121,8 +121,9 @@ class NeighbourIndex:
         return ids[best], sims[best]
 
     def vote(self, ids: np.ndarray, sims: np.ndarray) -> float:
-        w = self.share[ids] / (1.05 - sims)
-        return float((w * self.label[ids]).sum() / w.sum()) if len(ids) else self.blank_score
+        """The label's share among neighbours, weighted by closeness; the less close all are, the nearer to blank_score."""
+        w, blank = self.share[ids] * sims**2 / (1.05 - sims), 0.5 * self.share.mean()
+        return float(((w * self.label[ids]).sum() + blank * self.blank_score) / (w.sum() + blank))
 
     def _calibrate(self) -> None:
         """Pool adjacent violators over leave-one-out votes."""
@@ -152,6 +153,7 @@ class NeighbourIndex:
 
 def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, max_examples: int = 6000, max_terms: int = 2048, min_lift: float = 3.0, k: int = 25) -> NeighbourIndex:
     """An index from about max_examples rows of labelled, half of each class where there are enough, chosen by a hash of the id.
+    Its terms are at least min_lift times as frequent with the label as without, and more than chance explains.
 
     Rows with a null label are ignored, null texts are empty. Without any rows of a class, the scores are that class's share.
     """
@@ -159,7 +161,8 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, max_exa
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     rate = {y: min(1.0, max_examples / 2 / n) for y, n in sizes.items()}
     limit = F.when(F.col("y") == 1, F.lit(rate.get(1, 1.0))).otherwise(F.lit(rate.get(0, 1.0)))
-    sample, _ = scratch(rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < limit * 1_000_003))
+    picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < limit * 1_000_003)
+    sample, _ = scratch(picked.groupBy("text", "y").agg(F.min("id").alias("id")))  # else copies of one text make its every word telling
     n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     pos, neg = max(1, n.get(1, 0)), max(1, n.get(0, 0))
 
@@ -177,7 +180,10 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, max_exa
     part = lambda seen, share: F.when(F.col(seen) > 0, F.col(seen) * F.log(F.col(seen) / (both * share))).otherwise(0.0)
     gain = 2 * (part("b", F.lit(pos / (pos + neg))) + part("a", F.lit(neg / (pos + neg))))
     lift = (F.col("b") + 0.5) / pos / ((F.col("a") + 0.5) / neg)
-    chosen = counts.withColumn("gain", gain).where((lift >= min_lift) & (F.col("gain") >= 10) & (F.col("b") >= 3)).orderBy(F.desc("gain"), "term").limit(max_terms).collect()
+    counts, _ = scratch(counts.where("b >= 3"))
+    # Of so many terms some go with the label by chance; twice the logarithm of their number is what chance alone reaches.
+    chance = 2 * math.log(max(2, counts.count()))
+    chosen = counts.withColumn("gain", gain).where((lift >= min_lift) & (F.col("gain") >= chance)).orderBy(F.desc("gain"), "term").limit(max_terms).collect()
     vocabulary = {r["term"]: i for i, r in enumerate(chosen)}
     weights = {y: 1 / r for y, r in rate.items()}
     idf = np.asarray([1 + math.log((1 + sum(m * weights[y] for y, m in n.items())) / (1 + r["a"] * weights.get(0, 1) + r["b"] * weights.get(1, 1))) for r in chosen])
