@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fixity, packing, rollups, sharding, tool_calls, toxicity
+from . import decontamination, exact_dedup, fixity, near_dedup, packing, rollups, sharding, tool_calls, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_token_counts": rollups.op6_token_counts,
     "op7_fixity": fixity.op7_fixity,
+    "op8_decontamination": decontamination.op8_decontamination,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
 ORACLE_SQL = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_tool_calls": tool_calls.ORACLE, "op7_fixity": fixity.ORACLE}
