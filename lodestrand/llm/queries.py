@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, fixity, near_dedup, packing, rollups, sharding, tool_calls, toxicity
+from . import context_tree, decontamination, exact_dedup, fixity, near_dedup, packing, rollups, sharding, tool_calls, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_token_counts": rollups.op6_token_counts,
     "op7_fixity": fixity.op7_fixity,
     "op8_decontamination": decontamination.op8_decontamination,
+    "op9_lm_scores": context_tree.op9_lm_scores,
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
