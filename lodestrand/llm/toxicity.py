@@ -151,17 +151,19 @@ class NeighbourIndex:
         return known
 
 
-def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, max_examples: int = 6000, max_terms: int = 2048, min_lift: float = 3.0, k: int = 25) -> NeighbourIndex:
-    """An index from about max_examples rows of labelled, half of each class where there are enough, chosen by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_examples: int = 6000, max_terms: int = 2048, min_lift: float = 3.0, k: int = 25) -> NeighbourIndex:
+    """An index from about max_examples documents with a label, half of each class where there are enough, chosen by a hash of the id.
     Its terms are at least min_lift times as frequent with the label as without, and more than chance explains.
 
-    Rows with a null label are ignored, null texts are empty. Without any rows of a class, the scores are that class's share.
+    Null labels are ignored, of several labels of one id the greatest counts, and null texts are empty. Without any rows of a class,
+    the scores are that class's share. The chosen ids are broadcast: max_examples bounds them.
     """
-    rows = labelled.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (F.col(label_col) != 0).cast("int").alias("y"))
+    rows = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) != 0).cast("int")).alias("y"))
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     rate = {y: min(1.0, max_examples / 2 / n) for y, n in sizes.items()}
     limit = F.when(F.col("y") == 1, F.lit(rate.get(1, 1.0))).otherwise(F.lit(rate.get(0, 1.0)))
-    picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < limit * 1_000_003)
+    chosen_ids = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < limit * 1_000_003)
+    picked = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen_ids), "id")
     sample, _ = scratch(picked.groupBy("text", "y").agg(F.min("id").alias("id")))  # else copies of one text make its every word telling
     n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     pos, neg = max(1, n.get(1, 0)), max(1, n.get(0, 0))
@@ -228,8 +230,8 @@ def held_out(id_col: str, folds: int) -> Column:
 
 
 def fit_on_labels(spark: SparkSession, docs: DataFrame, sf_dir: str) -> NeighbourIndex:
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label_toxic"))
-    return fit(docs.select("doc_id", "text").where(~held_out("doc_id", 5)).join(labels, "doc_id"), "doc_id", "text", "label_toxic")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label_toxic")).where(~held_out("doc_id", 5))
+    return fit(docs.select("doc_id", "text"), labels, "doc_id", "text", "label_toxic")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
