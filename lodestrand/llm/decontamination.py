@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import scratch, table, text_or_empty
+from .shared import broadcast_if_small, scratch, table, text_or_empty
 
 SHINGLE = 5
 
@@ -112,5 +112,11 @@ def find_leaks(
     return found.select(F.col("id").alias(id_col), "item_id", (-F.col("best.back")).alias("start"), F.col("best.n").alias("words"), (-F.col("best.near")).alias("hamming"), F.round("best.similarity", 9).alias("similarity"), "windows")
 
 
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs without any leak, with their columns. Rows that share an id share its fate."""
+    leaked, _ = scratch(find_leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("leaked_id")).distinct())
+    return docs.join(broadcast_if_small(leaked), docs[id_col].eqNullSafe(leaked["leaked_id"]), "left_anti")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -44,7 +44,9 @@ def exact_dedup(
     best, order = (F.min, F.col("id").asc_nulls_last()) if keep == "smallest" else (F.max, F.col("id").desc_nulls_last())
     body = text_or_empty(text_col)
     body = normalise(body) if normalise else body
-    rows = docs.select(F.col(id_col).alias("id"), utf8(body).alias("body"), *([F.struct("*").alias("row")] if carry else []))
+    whole = normalise is not None  # else the text travels once, as body
+    rest = [F.lit(None).cast(docs.schema[c].dataType).alias(c) if c == text_col and not whole else F.col(c) for c in docs.columns]
+    rows = docs.select(F.col(id_col).alias("id"), utf8(body).alias("body"), *([F.struct(*rest).alias("row"), F.col(text_col).isNull().alias("blank")] if carry else []))
 
     digest = F.xxhash64("body")
     total = docs.count()
@@ -59,7 +61,7 @@ def exact_dedup(
     ranged = rows.withColumns(keys).repartitionByRange(parts, "head", "sha", "salt")
     run = Window.partitionBy("head", "sha", "salt", "body")
     runs = ranged.select(
-        "id", "sha", "is_hot", *(["row"] if carry else []),
+        "id", "sha", "is_hot", *([_restored(docs.columns, text_col, whole).alias("row")] if carry else []),
         best("id").over(run).alias("run_keep"), F.count("*").over(run).alias("run_size"), F.row_number().over(run.orderBy(order)).alias("nth"),
     )
     merged = runs.join(F.broadcast(hot_totals), F.col("is_hot") & (F.col("sha") == F.col("hot_sha")), "left")
@@ -74,6 +76,11 @@ def exact_dedup(
     )
 
 
+def _restored(columns: list[str], text_col: str, whole: bool) -> Column:
+    text = F.col("row").getField(text_col) if whole else F.when(~F.col("blank"), F.col("body").cast("string"))
+    return F.struct(*[(text if c == text_col else F.col("row").getField(c)).alias(c) for c in columns])
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .lookup import answer, answered, into_chunks, ranges_for, request, total_bytes, with_answers
-from .shared import drop_scratch, scratch, table, text_or_empty
+from .shared import broadcast_if_small, drop_scratch, scratch, table, text_or_empty
 from .shingles import document_shingles, mix
 
 BANDS, ROWS = 12, 3
@@ -229,5 +229,16 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
     return member.join(heads, "label").select(F.col("id").alias(id_col), F.col("head.id").alias("class_id"), "class_size", kept.alias("kept"), F.col("node").alias("text_sha256"))
 
 
+def drop_near_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that near_groups keeps, with their columns. Of rows equal in id and text any one stands for all."""
+    groups, _ = scratch(near_groups(docs, similarity, id_col, text_col).select(F.col(id_col).alias("k_id"), F.col("text_sha256").alias("k_sha"), "kept"))
+    same = docs[id_col].eqNullSafe(F.col("k_id")) & (F.sha2(text_or_empty(docs[text_col]), 256) == F.col("k_sha"))
+    if groups.groupBy("k_id", "k_sha").count().where("count > 1").isEmpty():
+        gone, _ = scratch(groups.where(~F.col("kept")).drop("kept"))
+        return docs.join(broadcast_if_small(gone), same, "left_anti")
+    left, _ = scratch(groups.where("kept").drop("kept"))
+    return docs.join(left, same, "left_semi").dropDuplicates([id_col, text_col])
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))

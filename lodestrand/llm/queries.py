@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import context_tree, decontamination, exact_dedup, fixity, near_dedup, packing, rollups, sharding, tool_calls, toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_tool_calls": tool_calls.op2_tool_calls,
     "op3_sharding": sharding.op3_sharding,

@@ -52,7 +52,12 @@ def drop_scratch(spark: SparkSession, *paths: str) -> None:
 
 def size_of(df: DataFrame) -> int:
     """Catalyst's estimate of a plan's bytes; scans give their file sizes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def broadcast_if_small(table: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """For a written table: a broadcast hint if its files are small, else as it is, for Spark to shuffle."""
+    return F.broadcast(table) if size_of(table) <= most else table
 
 
 def text_or_empty(text: str | Column) -> Column:
