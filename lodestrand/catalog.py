@@ -317,7 +317,7 @@ def jaccard_bigram(spark, sf_dir):
     return _paired(spark, sf_dir).select("doc_id", text.bigram_set("text").alias("a"), text.bigram_set("other").alias("b")).select("doc_id", both.alias("both"), either.alias("either"))
 
 
-@query("SELECT * FROM (VALUES (1, 2, 5), (2, 0, 4), (3, 0, 2)) t(pair, "both", either)")
+@query("SELECT * FROM (VALUES (1, 2, 5), (2, 0, 4), (3, 0, 2)) t(pair, \"both\", either)")
 def cjk_jaccard(spark, sf_dir):
     rows = spark.createDataFrame([(1, "原子写 file", "原子文件"), (2, "缓存", "并发"), (3, "abc", "索引")], "pair int, x string, y string")
     both, either = text.overlap("a", "b")

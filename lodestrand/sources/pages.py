@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from lodestrand.functions.text import PageFormat
@@ -41,7 +42,7 @@ def split_front_matter(raw: Column | str) -> tuple[Column, Column]:
     return F.when(has, F.regexp_extract(raw, strict, 1)), F.when(has, F.regexp_extract(raw, strict, 2)).otherwise(raw)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def yaml_to_entries(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """YAML mappings as JSON arrays of [key, value], which keep the order; null for YAML that is no mapping or doesn't parse."""
     import yaml
@@ -61,7 +62,7 @@ def yaml_to_entries(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield series.map(one, na_action=None)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def entries_to_yaml(entries: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The other way round; used when pages are exported."""
     import yaml
