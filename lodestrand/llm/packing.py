@@ -115,13 +115,15 @@ def local_search(sizes: list[int], bins: list[list[int]], capacity: int, patienc
         b = int(np.where((fill > 0) & ~stuck, fill, capacity + 1).argmin())
         if stuck[b] or not fill[b]:
             break
+        moved = False
         while fill[b] and step(b):
-            pass
+            moved = True
+        if moved:  # other bins have changed, so that those stuck before may go on
+            stuck[:] = False
         if fill[b]:
             stuck[b], failed = True, failed + 1
         else:
             live, failed = live - 1, 0
-            stuck[:] = False
     return full + [sorted(ids[i] for i in m) for m in members if m]
 
 
