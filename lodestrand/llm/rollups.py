@@ -89,20 +89,25 @@ def as_changes(counts: DataFrame, tokenizers: tuple[str, ...], sign: int) -> Dat
 TOKENIZERS = ("byte_bpe_50k", "byte_bpe_multi_50k")
 
 
+#: Three or more of one sign in a row, which the clean-up turns into one.
+SIGN_RUNS = r"([^\w\s])\1\1+"
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are inserted under two tokenizer versions; those labelled toxic are then deleted, and those labelled of low
-    quality revised to their text with runs of white space collapsed. The deletion is committed twice, to no effect."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    marked = docs.select("doc_id", "text", "source", "lang").join(labels, "doc_id", "left")
-    revised = F.coalesce((F.col("quality") == 0) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))
-    counts, _ = scratch(count_tokens(docs.select("doc_id", "text", "source", "lang"), TOKENIZERS))
-    counted = counts.join(labels, "doc_id", "left")
-    anew, _ = scratch(count_tokens(marked.where(revised).withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " "))), TOKENIZERS))
+    """All documents are inserted under two tokenizer versions; those labelled toxic are deleted, and those left that have runs of signs
+    are revised to their text without. The deletion is committed twice, to no effect. Texts are counted where they lie, and only counts
+    meet the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    counts, _ = scratch(count_tokens(docs, TOKENIZERS))
+    messy = docs.where(F.col("text").rlike(SIGN_RUNS))
+    before, _ = scratch(count_tokens(messy, TOKENIZERS))
+    after, _ = scratch(count_tokens(messy.withColumn("text", F.regexp_replace("text", SIGN_RUNS, "$1")), TOKENIZERS))
+    left = lambda c: c.join(toxic, "doc_id", "left_anti")
     ledger = TokenLedger(spark, f"{scratch_root(spark)}/ledger-{uuid.uuid4().hex}")
     ledger.commit("load", as_changes(counts, TOKENIZERS, 1))
-    takedown = as_changes(counted.where("toxic = 1"), TOKENIZERS, -1)
+    takedown = as_changes(counts.join(toxic, "doc_id", "left_semi"), TOKENIZERS, -1)
     ledger.commit("takedown", takedown)
-    ledger.commit("cleanup", as_changes(counted.where(revised), TOKENIZERS, -1).unionByName(as_changes(anew, TOKENIZERS, 1)))
+    ledger.commit("cleanup", as_changes(left(before), TOKENIZERS, -1).unionByName(as_changes(left(after), TOKENIZERS, 1)))
     ledger.commit("takedown", takedown)
     return ledger.totals()
