@@ -7,9 +7,11 @@ bucket's leader first, and only members that stay in different groups after that
 their samples allow the similarity at all. Groups are the connected components of the verified links between distinct texts.
 Copies of one text are one node throughout, and only identifiers and links are iterated over.
 
-The inverse document frequency is 1 + ln((1 + N) / (1 + df)) / ln(1 + N), from 1 to 2, with df rounded to an eighth of a power
-of two: rare shingles count up to twice as much as those all documents share, but a large group of near copies, whose
-common shingles are frequent just because of it, still holds together.
+The inverse document frequency is 1 + IDF_SPREAD * ln((1 + N) / (1 + df)) / ln(1 + N), with df rounded to an eighth of a power
+of two. The spread is kept small: the shingles that a large group of near copies has in common are frequent just because
+of the group, and would count so little beside each copy's own that the group fell apart.
+
+A bucket's leader is its member that meets most others over all bands, which in a group made from one original is the original.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from .lookup import answer, answered, into_chunks, ranges_for, request, total_by
 from .shared import broadcast_if_small, drop_scratch, scratch, table, text_or_empty
 from .shingles import document_shingles, mix
 
-BANDS, ROWS = 12, 3
+BANDS, ROWS, IDF_SPREAD = 12, 3, 0.1
+
+
 #: Fewer equal samples than this are next to impossible at the least similarity asked for (chance below 1e-6 at 0.8 of 36).
 def least_equal(similarity: float, samples: int = BANDS * ROWS) -> int:
     tail, k = 0.0, 0
@@ -45,7 +49,7 @@ def df_code(df: np.ndarray) -> np.ndarray:
 
 
 def idf(code: np.ndarray, n_docs: int) -> np.ndarray:
-    return (1 + np.log((1 + n_docs) / (1 + 2.0 ** (code.astype(np.float64) / 8))) / math.log(1 + n_docs)).clip(1, 2)
+    return 1 + IDF_SPREAD * (np.log((1 + n_docs) / (1 + 2.0 ** (code.astype(np.float64) / 8))) / math.log(1 + n_docs)).clip(0, 1)
 
 
 @lru_cache(maxsize=1)
@@ -56,8 +60,8 @@ def _draws() -> tuple[np.ndarray, np.ndarray]:
     return gamma, np.log(gamma)
 
 
-def weighted_samples(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray, samples: int = BANDS * ROWS) -> np.ndarray:
-    """samples x documents 32-bit samples of the weighted sets hashes[starts[i]:starts[i + 1]], none empty."""
+def weighted_samples(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray, samples: int = BANDS * ROWS, first: int = 0) -> np.ndarray:
+    """samples x documents 32-bit samples, numbered from first, of the weighted sets hashes[starts[i]:starts[i + 1]], none empty."""
     gamma, log_gamma = _draws()
     out = np.empty((samples, len(starts)), np.uint32)
     log_w, base = np.log(weights).astype(np.float32), mix(hashes)
@@ -66,7 +70,7 @@ def weighted_samples(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray
         lo, hi = starts[a], starts[b] if b < len(starts) else len(hashes)
         h, lw, at = base[lo:hi], log_w[lo:hi], starts[a:b] - lo
         for k in range(samples):
-            x = (h ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+            x = (h ^ np.uint64((first + k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
             x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
             x ^= x >> np.uint64(29)
             r = gamma[x & np.uint64(0xFFFF)]
@@ -155,6 +159,24 @@ def vectors(texts: DataFrame, n_docs: int) -> DataFrame:
     return texts.select("node", "text", "codes").mapInArrow(run, "node string, vector binary")
 
 
+FINE = 256
+
+
+def fine_samples(vector: DataFrame) -> DataFrame:
+    """(node, fine): the last bytes of FINE further samples, for telling similarities near the threshold apart without the vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = np.dtype([("hash", "<u8"), ("weight", "<f8")])
+        for batch in batches:
+            sets = [np.frombuffer(x.as_py(), kind) for x in batch.column(1)]
+            both, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])[:-1]]).astype(np.int64)
+            fine = weighted_samples(both["hash"].copy(), both["weight"].copy(), starts, FINE, BANDS * ROWS)
+            fine = np.ascontiguousarray(fine.T).astype(np.uint8).view(np.int8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(fine), pa.list_(pa.int8()))], names=["node", "fine"])
+
+    return vector.select("node", "vector").mapInArrow(run, "node string, fine array<tinyint>")
+
+
 def verify(pairs: DataFrame, vector: DataFrame, similarity: float) -> DataFrame:
     """Those of pairs(a, b) that are similar enough, as (a, b, similarity)."""
     rows = pairs.join(vector.withColumnsRenamed({"node": "a", "vector": "va"}), "a").join(vector.withColumnsRenamed({"node": "b", "vector": "vb"}), "b")
@@ -200,8 +222,10 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
     nodes, _ = scratch(named.where("bands IS NOT NULL").groupBy("node").agg(F.first("samples").alias("samples"), F.first("bands").alias("bands"), F.first("codes").alias("codes")))
 
     spots = nodes.select("node", F.explode("bands").alias("band"))
-    leaders = spots.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    led, _ = scratch(spots.join(leaders, "band").select("band", "node", "leader"))
+    met, _ = scratch(spots.join(spots.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "band"))
+    central = met.join(met.groupBy("node").agg(F.sum("size").alias("degree")), "node")
+    leaders = central.groupBy("band").agg(F.max(F.struct("degree", "node")).getField("node").alias("leader"))
+    led, _ = scratch(met.join(leaders, "band").select("band", "node", "leader"))
     pairs, _ = scratch(led.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
     wanted = led.select("node").distinct().join(nodes.select("node", "codes"), "node")
     texts = rows.groupBy(F.sha2("text", 256).alias("node")).agg(F.first("text").alias("text")).join(wanted, "node")
@@ -212,11 +236,13 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
     # Members of a bucket that its leader didn't bring together.
     apart = led.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
     split = apart.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-    apart = apart.join(split, "band").join(nodes.select("node", "samples"), "node")
-    apart, _ = scratch(apart)
-    other = apart.withColumnsRenamed({"node": "node2", "label": "label2", "samples": "samples2"})
-    equal = F.expr("aggregate(zip_with(samples, samples2, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x)")
-    more = apart.join(other, "band").where((F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & (equal >= least_equal(similarity)))
+    apart, _ = scratch(apart.join(split, "band"))
+    fine = fine_samples(vector.join(apart.select("node").distinct(), "node"))
+    apart, _ = scratch(apart.join(nodes.select("node", "samples").join(fine, "node"), "node"))
+    other = apart.withColumnsRenamed({"node": "node2", "label": "label2", "samples": "samples2", "fine": "fine2"})
+    equal = lambda c: F.expr(f"aggregate(zip_with({c}, {c}2, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x)")
+    likely = (equal("samples") >= least_equal(similarity)) & (equal("fine") >= least_equal(similarity, FINE))
+    more = apart.join(other, "band").where((F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & likely)
     more = more.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
     late, _ = scratch(verify(more.join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), vector, similarity))
     if not late.isEmpty():
