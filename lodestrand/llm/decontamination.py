@@ -52,7 +52,7 @@ def prepare_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     """(item_id, n, hashes, weights, weight, item_bits), one row per item of at least SHINGLE words; shorter ones match nothing. Of
     repeated ids each distinct text is an item; hashes are distinct."""
     items = benchmark.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col)).alias("words")).distinct()
-    items = items.where(F.size("words") >= SHINGLE).withColumn("all_hashes", shingle_hashes("words"))
+    items, _ = scratch(items.where(F.size("words") >= SHINGLE).withColumn("all_hashes", shingle_hashes("words")))
     items = items.select("item_id", F.size("words").alias("n"), F.array_distinct("all_hashes").alias("hashes"), simhash("all_hashes").alias("item_bits"))
     each = items.select("item_id", "n", "item_bits", F.explode("hashes").alias("hash"))
     spread = each.groupBy("hash").agg((F.lit(1.0) / F.count("*")).alias("w"))
@@ -89,11 +89,15 @@ def find_leaks(
         .drop("shared", "weight")
     )
     enough, _ = scratch(enough)
-    texts = rows.withColumn("body", F.xxhash64("text")).join(enough.select(F.col("id").alias("k"), F.col("body").alias("b")).distinct(), F.col("id").eqNullSafe(F.col("k")) & (F.col("body") == F.col("b")), "left_semi")
+    suspects, _ = scratch(enough.select(F.col("id").alias("k"), F.col("body").alias("b")).distinct())
+    same_row = F.col("id").eqNullSafe(F.col("k")) & (F.col("body") == F.col("b"))
+    texts = rows.withColumn("body", F.xxhash64("text")).join(broadcast_if_small(suspects), same_row, "left_semi")
     texts = texts.dropDuplicates(["id", "body"]).select(F.col("id").alias("t_id"), F.col("body").alias("t_body"), words_of(F.col("text")).alias("words"))
     windows = enough.join(texts, F.col("id").eqNullSafe(F.col("t_id")) & (F.col("body") == F.col("t_body")))
     windows = windows.select("id", "body", "item_id", "n", "item_bits", "start", F.slice("words", F.col("start") + 1, F.col("n")).alias("window"))
-    windows = windows.select("*", shingle_hashes("window").alias("window_hashes")).withColumn("window_bits", simhash("window_hashes"))
+    # Written between the steps: the planner would else put the hashing inside the loops over bits.
+    windows, _ = scratch(windows.select("*", shingle_hashes("window").alias("window_hashes")).drop("window"))
+    windows, _ = scratch(windows.withColumn("window_bits", simhash("window_hashes")))
     key = ["item_id", "n", "item_bits"]
     blocked = windows.select("id", "body", *key, "start", "window_bits", "window_hashes", _blocks("window_bits", radius).alias("x")).select("*", "x.*").drop("x")
     indexed = items.select(*[F.col(c).alias(f"i_{c}") for c in key], "hashes", "weights", "weight", _blocks("item_bits", radius).alias("x")).select("*", F.col("x.block").alias("i_block"), F.col("x.bits").alias("i_bits")).drop("x")
