@@ -2,11 +2,13 @@
 
 A window as long as an item can only be similar to it if the two share shingles of enough weight. So shingles of whole texts
 are looked up among the items', each hit credits every window it lies in, and windows that reach the share of the item's
-weight that the similarity asks for are fingerprinted. Fingerprints are cut into one block more than the Hamming
+weight or number of shingles that the similarity asks for are fingerprinted. Fingerprints are cut into one block more than the Hamming
 radius; a window within the radius agrees with the item in a block at least, so an equi-join on blocks finds it. Distances are
 then taken in full, and survivors verified by exact weighted-shingle similarity. All of it is native SQL.
 
-A shingle weighs 1/m if m items have it and 1 if none has. Items are broadcast while their shingles number less than
+Items of equal words are one. An item's shingle weighs 1/m if m items have it, scaled so that the item's weights average 1, and a
+window's other shingles weigh 1 each. A window passes by the greater of weighted and plain Jaccard similarity, so that neither
+copies nor overlaps of items lose one that is similar by number of shingles. Items are broadcast while their shingles number less than
 broadcast_shingles; beyond that the joins shuffle, and adaptive execution splits hot keys.
 """
 
@@ -48,16 +50,18 @@ def _blocks(fingerprint: str, radius: int) -> Column:
     return F.explode(F.array(*[F.struct(F.lit(i).alias("block"), F.expr(f"shiftrightunsigned({fingerprint}, {a}) & {(1 << n) - 1}L").alias("bits")) for i, (a, n) in enumerate(block_bounds(radius))]))
 
 
-def prepare_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, n, hashes, weights, weight, item_bits), one row per item of at least SHINGLE words; shorter ones match nothing. Of
-    repeated ids each distinct text is an item; hashes are distinct."""
-    items = benchmark.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col)).alias("words")).distinct()
-    items, _ = scratch(items.where(F.size("words") >= SHINGLE).withColumn("all_hashes", shingle_hashes("words")))
-    items = items.select("item_id", F.size("words").alias("n"), F.array_distinct("all_hashes").alias("hashes"), simhash("all_hashes").alias("item_bits"))
-    each = items.select("item_id", "n", "item_bits", F.explode("hashes").alias("hash"))
+def prepare_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(item, n, hashes, weights, weight, item_bits), one row per distinct words of at least SHINGLE, and (item, item_id), the ids that hold
+    them; shorter ones match nothing. Hashes are distinct; weight is that of all."""
+    held = benchmark.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col)).alias("words")).distinct()
+    held, _ = scratch(held.where(F.size("words") >= SHINGLE).withColumn("item", F.xxhash64("words")))
+    items, _ = scratch(held.groupBy("item").agg(F.first("words").alias("words")).withColumn("all_hashes", shingle_hashes("words")))
+    items = items.select("item", F.size("words").alias("n"), F.array_distinct("all_hashes").alias("hashes"), simhash("all_hashes").alias("item_bits"))
+    each = items.select("item", "n", "item_bits", F.explode("hashes").alias("hash"))
     spread = each.groupBy("hash").agg((F.lit(1.0) / F.count("*")).alias("w"))
-    packed = each.join(spread, "hash").groupBy("item_id", "n", "item_bits").agg(F.array_sort(F.collect_list(F.struct("hash", "w"))).alias("s"))
-    return packed.select("item_id", "n", "item_bits", F.col("s.hash").alias("hashes"), F.col("s.w").alias("weights"), F.expr("aggregate(s.w, 0D, (a, x) -> a + x)").alias("weight"))
+    packed = each.join(spread, "hash").groupBy("item", "n", "item_bits").agg(F.array_sort(F.collect_list(F.struct("hash", "w"))).alias("s"))
+    scaled = F.expr("transform(s.w, w -> w * size(s) / aggregate(s.w, 0D, (a, x) -> a + x))")
+    return packed.select("item", "n", "item_bits", F.col("s.hash").alias("hashes"), scaled.alias("weights"), F.size("s").cast("double").alias("weight")), held.select("item", "item_id")
 
 
 def find_leaks(
@@ -70,23 +74,24 @@ def find_leaks(
     and null item ids are reported as such; repeated rows count once. Other columns are ignored; empty tables give an empty
     result.
     """
-    items, _ = scratch(prepare_items(benchmark))
+    items, owners = prepare_items(benchmark)
+    items, _ = scratch(items)
     small = items.select(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0] <= broadcast_shingles
     near = F.broadcast if small else (lambda x: x)
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     cut = rows.select("id", F.xxhash64("text").alias("body"), words_of(F.col("text")).alias("words"))
     spots = cut.select("id", "body", F.size("words").alias("have"), F.posexplode(shingle_hashes("words")).alias("at", "hash"))
-    anchors = items.select("item_id", "n", "weight", "item_bits", F.explode(F.arrays_zip("hashes", "weights")).alias("s")).select("item_id", "n", "weight", "item_bits", F.col("s.hashes").alias("hash"), F.col("s.weights").alias("w"))
+    anchors = items.select("item", "n", "weight", "item_bits", F.explode(F.arrays_zip("hashes", "weights")).alias("s")).select("item", "n", "weight", "item_bits", F.col("s.hashes").alias("hash"), F.col("s.weights").alias("w"))
     hits = spots.join(near(anchors), "hash")
     last = F.greatest(F.lit(0), F.col("have") - F.col("n"))
     first_start = F.least(last, F.greatest(F.lit(0), F.col("at") + SHINGLE - F.col("n")))
     starts = F.explode(F.sequence(first_start, F.least(last, F.col("at")))).alias("start")
-    credited = hits.select("id", "body", "item_id", "n", "weight", "item_bits", "w", starts)
+    credited = hits.select("id", "body", "item", "n", "weight", "item_bits", "w", starts)
     enough = (
-        credited.groupBy("id", "body", "item_id", "n", "weight", "item_bits", "start")
-        .agg(F.sum("w").alias("shared"))
-        .where(F.col("shared") >= similarity * F.col("weight") - 1e-9)
-        .drop("shared", "weight")
+        credited.groupBy("id", "body", "item", "n", "weight", "item_bits", "start")
+        .agg(F.sum("w").alias("shared"), F.count("*").alias("count"))  # weight is the number of shingles too
+        .where(F.greatest("shared", "count") >= similarity * F.col("weight") - 1e-9)
+        .drop("shared", "count", "weight")
     )
     enough, _ = scratch(enough)
     suspects, _ = scratch(enough.select(F.col("id").alias("k"), F.col("body").alias("b")).distinct())
@@ -94,14 +99,14 @@ def find_leaks(
     texts = rows.withColumn("body", F.xxhash64("text")).join(broadcast_if_small(suspects), same_row, "left_semi")
     texts = texts.dropDuplicates(["id", "body"]).select(F.col("id").alias("t_id"), F.col("body").alias("t_body"), words_of(F.col("text")).alias("words"))
     windows = enough.join(texts, F.col("id").eqNullSafe(F.col("t_id")) & (F.col("body") == F.col("t_body")))
-    windows = windows.select("id", "body", "item_id", "n", "item_bits", "start", F.slice("words", F.col("start") + 1, F.col("n")).alias("window"))
+    windows = windows.select("id", "body", "item", "n", "item_bits", "start", F.slice("words", F.col("start") + 1, F.col("n")).alias("window"))
     # Written between the steps: the planner would else put the hashing inside the loops over bits.
     windows, _ = scratch(windows.select("*", shingle_hashes("window").alias("window_hashes")).drop("window"))
     windows, _ = scratch(windows.withColumn("window_bits", simhash("window_hashes")))
-    key = ["item_id", "n", "item_bits"]
+    key = ["item", "n", "item_bits"]
     blocked = windows.select("id", "body", *key, "start", "window_bits", "window_hashes", _blocks("window_bits", radius).alias("x")).select("*", "x.*").drop("x")
     indexed = items.select(*[F.col(c).alias(f"i_{c}") for c in key], "hashes", "weights", "weight", _blocks("item_bits", radius).alias("x")).select("*", F.col("x.block").alias("i_block"), F.col("x.bits").alias("i_bits")).drop("x")
-    same = F.col("item_id").eqNullSafe(F.col("i_item_id")) & (F.col("n") == F.col("i_n")) & (F.col("item_bits") == F.col("i_item_bits")) & (F.col("block") == F.col("i_block")) & (F.col("bits") == F.col("i_bits"))
+    same = F.col("item").eqNullSafe(F.col("i_item")) & (F.col("n") == F.col("i_n")) & (F.col("item_bits") == F.col("i_item_bits")) & (F.col("block") == F.col("i_block")) & (F.col("bits") == F.col("i_bits"))
     distance = F.bit_count(F.col("window_bits").bitwiseXOR(F.col("item_bits")))
     first_block = F.lit(True)
     for i, (a, n) in enumerate(block_bounds(radius)):  # a pair meets in every block it agrees in; it is kept in the first
@@ -110,9 +115,10 @@ def find_leaks(
     met = blocked.join(near(indexed), same).withColumn("hamming", distance).where((F.col("hamming") <= radius) & first_block)
     shared = F.expr("aggregate(arrays_zip(hashes, weights), 0D, (s, x) -> s + if(array_contains(window_hashes, x.hashes), x.weights, 0D))")
     extra = F.size(F.array_except("window_hashes", "hashes"))
-    checked = met.withColumn("similarity", shared / (F.col("weight") + extra)).where(F.col("similarity") >= similarity - 1e-9)
+    plain = F.size(F.array_intersect("window_hashes", "hashes"))
+    checked = met.withColumn("similarity", F.greatest(shared, plain) / (F.col("weight") + extra)).where(F.col("similarity") >= similarity - 1e-9)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n", (-F.col("hamming")).alias("near"))).alias("best")
-    found = checked.groupBy("id", "item_id").agg(best, F.countDistinct("body", "n", "item_bits", "start").alias("windows"))
+    found = checked.join(broadcast_if_small(owners), "item").groupBy("id", "item_id").agg(best, F.countDistinct("body", "item", "start").alias("windows"))
     return found.select(F.col("id").alias(id_col), "item_id", (-F.col("best.back")).alias("start"), F.col("best.n").alias("words"), (-F.col("best.near")).alias("hamming"), F.round("best.similarity", 9).alias("similarity"), "windows")
 
 

@@ -165,6 +165,24 @@ def test_decontamination(spark, empty):
     assert decontamination.find_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_repeated_and_overlapping_items(spark):
+    r = random.Random(5)
+    item, other = ([r.choice(WORDS) + str(i % 7) for i in range(60)] for _ in range(2))
+    near = [*item[:30], "other", *item[31:]]  # 51 of 61 shingles are shared
+    items = [(i, " ".join(item)) for i in range(12)] + [(50 + i, " ".join(item[25:36] + other[4 * i : 4 * i + 30])) for i in range(3)] + [(90 + i, " ".join(item[: 20 + i])) for i in range(5)]
+    docs = spark.createDataFrame([(1, " ".join(other[:9] + near + other[9:20])), (2, " ".join(other))], "doc_id long, text string")
+    got = {(g["doc_id"], g["item_id"]): g for g in decontamination.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for d in docs.collect():
+        words = d["text"].split()
+        for i, text in items:
+            want = shingles(text.split())
+            windows = [shingles(words[s : s + len(text.split())]) for s in range(max(1, len(words) - len(text.split()) + 1))]
+            best = max(len(w & want) / len(w | want) for w in windows)
+            assert best < 0.8 or got[(d["doc_id"], i)]["similarity"] >= best - 1e-9
+    assert all(got[(1, i)]["start"] == 9 for i in range(12)) and not [g for g in got if g[0] == 2]
+
+
 def test_language_scores(docs, empty, rows):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)), None]
