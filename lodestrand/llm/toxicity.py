@@ -1,23 +1,30 @@
 """Toxicity by the nearest labelled examples.
 
-Terms are lower-cased words and their leading four to six characters. A bounded sample of labelled rows gives the terms that
-go with the label, their inverse document frequencies and the examples. Examples lie in an inverted index whose postings are
-cut into blocks of BLOCK examples with the greatest weight of each; a query bounds every block by these maxima, opens
-blocks by falling bound and stops once no unopened block can reach the k-th best cosine, so its neighbours are exact.
+Terms are lower-cased words and their leading four to six characters. A bounded sample of labelled rows gives the examples; their
+vectors are over all their terms, with document frequencies from all documents, and terms that go with the label weigh
+`lift_weight` times as much. Examples lie in an inverted index whose postings are cut into blocks of BLOCK examples with the
+greatest weight of each; a query bounds every block by these maxima, opens blocks by falling bound and stops once no
+unopened block can reach the k-th best cosine, so its neighbours are exact. Terms that no example has are left out of a query's
+vector: they don't change which examples are nearest. Examples with a cosine of 1 vote alone.
 Votes are weighted by closeness and by how thinly the example's class was sampled, then mapped to frequencies seen when each
 example is scored by the others. All bounds are parameters: the index doesn't grow with the corpus, and is broadcast.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +32,7 @@ from pyspark.sql import types as T
 from .shared import scratch, table
 
 WORD = re.compile(r"\w+")
-BLOCK, CACHE = 64, 400_000
+BLOCK, CACHE, RANGE = 64, 400_000, 4096
 
 
 def terms_of(word: str) -> set[str]:
@@ -33,7 +40,7 @@ def terms_of(word: str) -> set[str]:
 
 
 class _Features(dict):
-    """Word to the numbers of its selected terms."""
+    """Word to the numbers of its terms."""
 
     def __init__(self, vocabulary: dict[str, int]):
         super().__init__()
@@ -48,9 +55,16 @@ class _Features(dict):
         return found
 
 
-def term_counts(text: str, features: _Features) -> tuple[tuple[int, int], ...]:
-    """Sorted (term number, occurrences) of the whole text."""
-    return tuple(sorted(Counter(f for found in filter(None, map(features.__getitem__, WORD.findall(text.lower()))) for f in found).items()))
+def term_counts(text: str, features: _Features) -> np.ndarray:
+    """Sorted (term number, occurrences) of the whole text, a row each."""
+    found = np.fromiter(chain.from_iterable(map(features.__getitem__, WORD.findall(text.lower()))), np.int32)
+    return np.stack(np.unique(found, return_counts=True), axis=1).astype(np.int32)
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers from every start on, as many as its length, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
 @dataclass
@@ -59,60 +73,88 @@ class NeighbourIndex:
 
     vocabulary: dict[str, int]
     idf: np.ndarray
-    examples: list[tuple[tuple[tuple[int, int], ...], int, float, object]]
+    examples: list[tuple[Iterable[tuple[int, int]], int, float, object]]
     k: int = 25
     knots: tuple[np.ndarray, np.ndarray] | None = None
     memo: dict = field(default_factory=dict)
 
     def __post_init__(self):
         # Examples with the same rarest term lie together, which keeps block maxima telling.
-        rare = lambda counts: max(counts, key=lambda c: self.idf[c[0]])[0] if counts else -1
-        blank = [x for x in self.examples if not x[0]]
+        self.examples = [(np.asarray(c, np.int32).reshape(-1, 2), *rest) for c, *rest in self.examples]
+        rare = lambda counts: int(counts[self.idf[counts[:, 0]].argmax(), 0])
+        blank = [x for x in self.examples if not len(x[0])]
         mass = [sum(w for _, y, w, _ in blank if y == c) for c in (0, 1)]
         every = [sum(w for _, y, w, _ in self.examples if y == c) for c in (0, 1)]
         prior = every[1] / sum(every) if sum(every) else 0.5
         self.blank_score = (mass[1] + prior) / (sum(mass) + 1)
-        self.examples = sorted((x for x in self.examples if x[0]), key=lambda x: (rare(x[0]), x[0], x[1], str(x[3])))
-        n, blocks = len(self.examples), -(-len(self.examples) // BLOCK)
-        postings: list[list[tuple[int, float]]] = [[] for _ in self.idf]
-        for e, (counts, *_) in enumerate(self.examples):
-            for f, w in zip(*self.vector(counts), strict=True):
-                postings[f].append((e, w))
-        self.where = [np.asarray([e for e, _ in p], np.int64) for p in postings]
-        self.weight = [np.asarray([w for _, w in p], np.float64) for p in postings]
-        self.start = np.asarray([np.searchsorted(p, np.arange(blocks + 1) * BLOCK) for p in self.where]).reshape(len(postings), blocks + 1)
-        self.block_max = np.zeros((len(postings), blocks))
-        for f, (at, w) in enumerate(zip(self.where, self.weight, strict=True)):
-            np.maximum.at(self.block_max[f], at // BLOCK, w)
+        self.examples = sorted((x for x in self.examples if len(x[0])), key=lambda x: (rare(x[0]), x[0].tobytes(), x[1], str(x[3])))
+        n = len(self.examples)
+        self.blocks = -(-n // BLOCK)
+        sizes = [len(x[0]) for x in self.examples]
+        term = np.concatenate([x[0][:, 0] for x in self.examples]) if n else np.empty(0, np.int32)
+        order = np.argsort(term, kind="stable")
+        term = term[order]
+        self.where = np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
+        self.weight = (np.concatenate([self.vector(x[0])[1] for x in self.examples]) if n else np.empty(0))[order]
+        # An entry for every term and block that has it: where its postings start, and their greatest weight.
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (self.where[1:] // BLOCK != self.where[:-1] // BLOCK)
+        starts = np.flatnonzero(new)
+        self.post = np.append(starts, len(term))
+        self.block = self.where[starts] // BLOCK
+        self.block_max = np.maximum.reduceat(self.weight, starts) if n else np.empty(0)
+        self.first = np.searchsorted(term[starts], np.arange(len(self.idf) + 1))
         self.label = np.asarray([x[1] for x in self.examples], np.float64)
         self.share = np.asarray([x[2] for x in self.examples], np.float64)
         self.ids = [x[3] for x in self.examples]
         if self.knots is None and n:
             self._calibrate()
 
-    def vector(self, counts: Iterable[tuple[int, int]]) -> tuple[list[int], list[float]]:
-        fs = [f for f, _ in counts]
-        w = [(1 + math.log(c)) * self.idf[f] for f, c in counts]
-        norm = math.sqrt(sum(x * x for x in w))
-        return fs, [x / norm for x in w]
-
-    def nearest(self, counts: tuple[tuple[int, int], ...], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def __getstate__(self) -> bytes:
+        """Packed, and without the postings, which whoever reads it builds again: executors keep broadcasts on disk."""
+        pairs = np.concatenate([np.empty((0, 2), np.int32), *(x[0] for x in self.examples)]).T
+        rest = [(len(c), *x) for c, *x in self.examples]
+        return zlib.compress(pickle.dumps((self.vocabulary, self.idf, np.ascontiguousarray(pairs), rest, self.k, self.knots, self.blank_score)), 1)
+
+    def __setstate__(self, state: bytes) -> None:
+        self.vocabulary, self.idf, pairs, rest, self.k, self.knots, blank_score = pickle.loads(zlib.decompress(state))
+        parts = np.split(pairs.T, np.cumsum([x[0] for x in rest])[:-1]) if rest else []
+        self.examples = [(c, *x[1:]) for c, x in zip(parts, rest, strict=True)]
+        self.memo = {}
+        self.__post_init__()
+        self.blank_score = blank_score  # examples without a term are gone by now
+
+    def vector(self, counts: Iterable[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        counts = np.asarray(counts, np.int32).reshape(-1, 2)
+        w = (1 + np.log(counts[:, 1])) * self.idf[counts[:, 0]]
+        return counts[:, 0], w / math.sqrt((w * w).sum()) if len(w) else w
+
+    def nearest(self, counts: Iterable[tuple[int, int]], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples with any cosine above 0; equals by number."""
         fs, q = self.vector(counts)
-        bound = np.asarray(q) @ self.block_max[fs]
-        ids, sims, kth = np.empty(0, np.int64), np.empty(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < kth - 1e-12:
+        has = self.first[fs + 1] - self.first[fs]
+        entry, part = _ranges(self.first[fs], has), np.repeat(q, has)
+        block = self.block[entry]
+        bound = np.bincount(block, part * self.block_max[entry], self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        ids, sims, kth, a, step = np.empty(0, np.int64), np.empty(0), 0.0, 0, 8
+        while a < self.blocks:
+            some = order[a : a + step]
+            some = some[(bound[some] > 0) & (bound[some] >= kth - 1e-12)]
+            if not len(some):
                 break
-            scores = np.zeros(BLOCK)
-            for f, w in zip(fs, q, strict=True):
-                a, z = self.start[f, b], self.start[f, b + 1]
-                scores[self.where[f][a:z] - b * BLOCK] += w * self.weight[f][a:z]
-            hit = np.flatnonzero(scores)
-            new = hit + b * BLOCK
-            keep = new != without
-            ids, sims = np.concatenate([ids, new[keep]]), np.concatenate([sims, scores[hit[keep]]])
+            a, step, opened = a + step, 4 * step, np.zeros(self.blocks, bool)
+            opened[some] = True
+            here = opened[block]
+            at, lengths = self.post[entry[here]], self.post[entry[here] + 1] - self.post[entry[here]]
+            at = _ranges(at, lengths)
+            scores = np.bincount(self.where[at], np.repeat(part[here], lengths) * self.weight[at], len(self.examples))
+            new = np.flatnonzero(scores)
+            new = new[new != without]
+            ids, sims = np.concatenate([ids, new]), np.concatenate([sims, scores[new]])
             if len(ids) > k:
+                near = sims >= np.partition(sims, -k)[-k] - 1e-11
+                ids, sims = ids[near], sims[near]
                 best = np.lexsort((ids, -np.round(sims, 12)))[:k]
                 ids, sims = ids[best], sims[best]
             if len(ids) == k:
@@ -121,7 +163,10 @@ class NeighbourIndex:
         return ids[best], sims[best]
 
     def vote(self, ids: np.ndarray, sims: np.ndarray) -> float:
-        """The label's share among neighbours, weighted by closeness; the less close all are, the nearer to blank_score."""
+        """The label's share among neighbours, weighted by closeness; the less close all are, the nearer to blank_score.
+        Examples with a cosine of 1 decide alone, so that a copy of an example gets its label however many others are near."""
+        if (same := sims > 1 - 1e-9).any():
+            return float(np.average(self.label[ids[same]], weights=self.share[ids[same]]))
         w, blank = self.share[ids] * sims**2 / (1.05 - sims), 0.5 * self.share.mean()
         return float(((w * self.label[ids]).sum() + blank * self.blank_score) / (w.sum() + blank))
 
@@ -136,24 +181,49 @@ class NeighbourIndex:
                 blocks[-1] = [a + b for a, b in zip(blocks[-1], top, strict=True)]
         self.knots = np.asarray([b[1] / b[0] for b in blocks]), np.asarray([b[2] / b[0] for b in blocks])
 
-    def score(self, counts: tuple[tuple[int, int], ...]) -> tuple[float, float, list]:
+    def score(self, counts: np.ndarray) -> tuple[float, float, list]:
         """Score, greatest cosine and the ids of the five nearest examples."""
-        if not counts or not self.examples:
+        if not len(counts) or not self.examples:
             return self.blank_score, 0.0, []
-        if (known := self.memo.get(counts)) is None:
+        key = hashlib.blake2b(counts.tobytes(), digest_size=16).digest()
+        if (known := self.memo.get(key)) is None:
             ids, sims = self.nearest(counts, self.k)
             raw = self.vote(ids, sims)
             # A little of the raw vote stays in, so that votes within one pooled block keep their order.
             known = 0.98 * float(np.interp(raw, *self.knots)) + 0.02 * raw, float(sims[0]) if len(sims) else 0.0, [self.ids[i] for i in ids[:5]]
             if len(self.memo) >= CACHE // 8:
                 self.memo.clear()
-            self.memo[counts] = known
+            self.memo[key] = known
         return known
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_examples: int = 6000, max_terms: int = 2048, min_lift: float = 3.0, k: int = 25) -> NeighbourIndex:
+def document_frequencies(docs: DataFrame, text_col: str, held: Broadcast) -> np.ndarray:
+    """In how many of all documents each term is. Every task sends one array a range of RANGE terms."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, seen = _Features(held.value), np.zeros(len(held.value), np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen[term_counts(text or "", features)[:, 0]] += 1
+        at = range(0, len(seen), RANGE)
+        yield pa.RecordBatch.from_arrays([pa.array(list(at), pa.int32()), pa.array([seen[a : a + RANGE] for a in at], pa.list_(pa.int64()))], names=["a", "seen"])
+
+    def add(part: pa.Table) -> pa.Table:
+        total = np.sum([np.asarray(x) for x in part.column(1).to_pylist()], axis=0)
+        return pa.table({"a": part.column(0)[:1], "seen": pa.array([total], pa.list_(pa.int64()))})
+
+    schema = "a int, seen array<long>"
+    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, schema).groupBy("a").applyInArrow(add, schema).collect()
+    total = np.zeros(len(held.value), np.int64)
+    for r in found:
+        total[r["a"] : r["a"] + len(r["seen"])] = r["seen"]
+    return total
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_examples: int = 6000, max_terms: int = 2048, min_lift: float = 3.0, k: int = 25, lift_weight: float = 32.0) -> NeighbourIndex:
     """An index from about max_examples documents with a label, half of each class where there are enough, chosen by a hash of the id.
-    Its terms are at least min_lift times as frequent with the label as without, and more than chance explains.
+    Its terms are all that the examples have. Up to max_terms that are at least min_lift times as frequent with the label as without, and
+    more than chance explains, weigh lift_weight times their inverse document frequency, all others just that.
 
     Null labels are ignored, of several labels of one id the greatest counts, and null texts are empty. Without any rows of a class,
     the scores are that class's share. The chosen ids are broadcast: max_examples bounds them.
@@ -182,29 +252,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     part = lambda seen, share: F.when(F.col(seen) > 0, F.col(seen) * F.log(F.col(seen) / (both * share))).otherwise(0.0)
     gain = 2 * (part("b", F.lit(pos / (pos + neg))) + part("a", F.lit(neg / (pos + neg))))
     lift = (F.col("b") + 0.5) / pos / ((F.col("a") + 0.5) / neg)
-    counts, _ = scratch(counts.where("b >= 3"))
+    counts, _ = scratch(counts)
+    vocabulary = {t: i for i, t in enumerate(counts.select("term").orderBy("term").toArrow().column(0).to_pylist())}
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    often = counts.where("b >= 3")
     # Of so many terms some go with the label by chance; twice the logarithm of their number is what chance alone reaches.
-    chance = 2 * math.log(max(2, counts.count()))
-    chosen = counts.withColumn("gain", gain).where((lift >= min_lift) & (F.col("gain") >= chance)).orderBy(F.desc("gain"), "term").limit(max_terms).collect()
-    vocabulary = {r["term"]: i for i, r in enumerate(chosen)}
+    chance = 2 * math.log(max(2, often.count()))
+    chosen = often.withColumn("gain", gain).where((lift >= min_lift) & (F.col("gain") >= chance)).orderBy(F.desc("gain"), "term").limit(max_terms).collect()
     weights = {y: 1 / r for y, r in rate.items()}
-    idf = np.asarray([1 + math.log((1 + sum(m * weights[y] for y, m in n.items())) / (1 + r["a"] * weights.get(0, 1) + r["b"] * weights.get(1, 1))) for r in chosen])
+    idf = 1 + np.log((1 + docs.count()) / (1 + document_frequencies(docs, text_col, held)))
+    idf[[vocabulary[r["term"]] for r in chosen]] *= lift_weight
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = _Features(vocabulary)
+        features = _Features(held.value)
         for batch in batches:
             found = [term_counts(t or "", features) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([[f for f, _ in x] for x in found], pa.list_(pa.int32())), pa.array([[c for _, c in x] for x in found], pa.list_(pa.int32()))], names=["id", "y", "f", "c"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x[:, 0] for x in found], pa.list_(pa.int32())), pa.array([x[:, 1] for x in found], pa.list_(pa.int32()))], names=["id", "y", "f", "c"])
 
     schema = T.StructType([sample.schema["id"], sample.schema["y"], T.StructField("f", T.ArrayType(T.IntegerType())), T.StructField("c", T.ArrayType(T.IntegerType()))])
-    examples = [(tuple(zip(r["f"], r["c"], strict=True)), r["y"], weights[r["y"]], r["id"]) for r in sample.select("id", "text", "y").mapInArrow(extract, schema).collect()]
+    got = sample.select("id", "text", "y").mapInArrow(extract, schema).toArrow()
+    pairs = (np.stack([f.values.to_numpy(), c.values.to_numpy()], axis=1) for f, c in zip(got.column("f"), got.column("c"), strict=True))
+    examples = [(x, y, weights[y], i) for x, y, i in zip(pairs, got.column("y").to_pylist(), got.column("id").to_pylist(), strict=True)]
     return NeighbourIndex(vocabulary, idf, examples, k)
 
 
 def score_toxicity(docs: DataFrame, index: NeighbourIndex, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """One row per input row: id, score, predicted, similarity (greatest cosine), evidence (ids of the five nearest examples) and,
     with carry, the input row as struct `row`. Empty and null texts get the share of the label among examples without any
-    telling term. Repeated rows get equal scores; an empty table gives an empty result."""
+    term. Repeated rows get equal scores; an empty table gives an empty result."""
     held = docs.sparkSession.sparkContext.broadcast(index)
     id_type = docs.schema[id_col].dataType
     out = [docs.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("similarity", T.DoubleType()), T.StructField("evidence", T.ArrayType(id_type))]

@@ -1,6 +1,7 @@
 """The operators against brute force, on a small table with nulls, empty and long texts, ties, repeated rows and odd columns."""
 
 import math
+import pickle
 import random
 import re
 import zlib
@@ -117,6 +118,22 @@ def test_toxicity(spark, empty):
     assert toxicity.score_toxicity(empty, index).count() == 0
 
 
+def test_toxicity_matches_words_beyond_the_lexicon(spark):
+    r = random.Random(9)
+    texts = [" ".join(r.choice(WORDS) for _ in range(20)) for _ in range(60)] + ["rare vile wording once", "plain other phrase here"]
+    docs = spark.createDataFrame([*enumerate(texts), (100, texts[60]), (101, "rare vile wording once more"), (102, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 60)) for i in range(62)], "doc_id long, toxic int")
+    index = toxicity.fit(docs, labels, "doc_id", "text", "toxic")
+    # Document frequencies are of all documents, those without a label too.
+    want = [sum(w in (t or "").split() for _, t in docs.collect()) for w in ("rare", WORDS[0])]
+    assert [round(float(index.idf[index.vocabulary[w]]), 9) for w in ("rare", WORDS[0])] == [round(1 + math.log(66 / (1 + n)), 9) for n in want]
+    again = pickle.loads(pickle.dumps(index))
+    assert all((getattr(index, x) == getattr(again, x)).all() for x in ("where", "weight", "post", "block", "block_max", "first"))
+    got = {g["doc_id"]: g for g in toxicity.score_toxicity(docs, index).collect()}
+    assert got[100]["predicted"] == 1 and round(got[100]["similarity"], 9) == 1 and got[100]["evidence"][0] == 60
+    assert got[101]["evidence"][0] == 60 and got[61]["predicted"] == 0 and got[102]["evidence"] == []
+
+
 def test_token_ledger(spark, tmp_path, docs, rows):
     counts = rollups.count_tokens(docs, ("byte_bpe_50k",))
     ledger = rollups.TokenLedger(spark, f"file://{tmp_path}/ledger")
