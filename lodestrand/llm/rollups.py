@@ -77,6 +77,8 @@ def count_tokens(docs: DataFrame, tokenizers: tuple[str, ...], text_col: str = "
             texts = [x or "" for x in batch.column(len(rest)).to_pylist()]
             counts = [pa.array([e.count(t) for t in texts], pa.int64()) for e in encoders]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *counts, pa.array([len(t.encode()) for t in texts], pa.int64())], names=[*rest, *new])
+        for e in encoders:
+            e.rest()
 
     return docs.select(*rest, F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 

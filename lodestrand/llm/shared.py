@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import uuid
+from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +45,24 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    import ctypes
+
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return lambda _: 0
+
+
+def tidy() -> None:
+    """In a Python worker: gives memory that is free back to the system, since workers live on after a task."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def drop_scratch(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         with contextlib.suppress(Exception):

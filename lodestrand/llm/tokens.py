@@ -1,8 +1,8 @@
 """Byte-pair token ids of whole texts, as the public vocabulary files give them.
 
 A text is cut before every single space between two other characters. No pre-token of the files' pattern spans such a
-place, so the cuts don't change the ids, and the ids of a segment can be remembered. The memory is bounded by
-CACHE_SEGMENTS; longer segments than CACHE_CHARS are never kept.
+place, so the cuts don't change the ids, and the ids of a segment can be remembered. That memory is bounded by CACHE_BYTES and
+given back at the end of a task by Encoder.rest(); longer segments than CACHE_CHARS are never kept.
 """
 
 from __future__ import annotations
@@ -13,7 +13,11 @@ import sys
 from array import array
 from functools import lru_cache
 
-CACHE_SEGMENTS, CACHE_CHARS = 600_000, 48
+from .shared import tidy
+
+CACHE_BYTES, CACHE_CHARS = 40 << 20, 48
+#: What a remembered segment takes besides its own bytes and those of its ids.
+OVERHEAD = 180
 #: Spelled in a text, this is id 50256 to byte_bpe_50k.json.
 SPECIAL = "<|endoftext|>"
 _DOUBLE, _CUT = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
@@ -32,12 +36,17 @@ class _Ids(dict):
 
     def __init__(self, encode, lead: str):
         super().__init__()
-        self.encode, self.lead = encode, lead
+        self.encode, self.lead, self.size = encode, lead, 0
+
+    def clear(self) -> None:
+        super().clear()
+        self.size = 0
 
     def __missing__(self, segment: str) -> bytes:
         ids = packed(self.encode(self.lead + segment))
         if len(segment) <= CACHE_CHARS:
-            if len(self) >= CACHE_SEGMENTS:
+            self.size += OVERHEAD + len(segment) + len(ids)
+            if self.size > CACHE_BYTES:
                 self.clear()
             self[segment] = ids
         return ids
@@ -54,7 +63,7 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.name = name
         encode = tiktoken.Encoding(name, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.first, self.rest = _Ids(encode, ""), _Ids(encode, " ")
+        self.first, self.later = _Ids(encode, ""), _Ids(encode, " ")
         self.whole = None
 
     def ids(self, text: str) -> bytes:
@@ -62,8 +71,14 @@ class Encoder:
             return self._by_library(text)
         parts = text.split(" ") if not _DOUBLE.search(text) else _CUT.split(text)
         if len(parts) > 1 and not parts[0]:  # the text begins with a space, which belongs to the segment after it
-            return b"".join(map(self.rest.__getitem__, parts[1:]))
-        return self.first[parts[0]] + b"".join(map(self.rest.__getitem__, parts[1:])) if text else b""
+            return b"".join(map(self.later.__getitem__, parts[1:]))
+        return self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:])) if text else b""
+
+    def rest(self) -> None:
+        """Forgets all segments, at the end of a task."""
+        self.first.clear()
+        self.later.clear()
+        tidy()
 
     def count(self, text: str) -> int:
         return len(self.ids(text)) // 4
