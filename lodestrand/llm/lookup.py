@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from .shared import shuffle_partitions
 
-CHUNK_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
+CHUNK_BYTES, RANGE_BYTES, MOST_RANGES = 8 << 20, 16 << 20, 4096
 
 
 def total_bytes(docs: DataFrame, text: str = "text") -> tuple[int, int]:
@@ -37,6 +37,13 @@ def ranges_for(docs: DataFrame, size: int) -> int:
     return max(shuffle_partitions(docs.sparkSession), -(-size // RANGE_BYTES))
 
 
+def tiles_for(docs: DataFrame, size: int) -> tuple[int, int]:
+    """Ranges of keys, MOST_RANGES at most so that a chunk's request for a range stays worth a row, and parts of the chunks, so that
+    what one part of the chunks asks of one range stays near RANGE_BYTES however large the corpus."""
+    ranges = min(ranges_for(docs, size), max(MOST_RANGES, shuffle_partitions(docs.sparkSession)))
+    return ranges, -(-size // (RANGE_BYTES * ranges)) or 1
+
+
 def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
     """Key range of 64-bit keys; rises with the key."""
     return ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
