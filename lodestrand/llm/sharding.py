@@ -1,10 +1,12 @@
 """Sharding by a hierarchical weighted hash tree.
 
-Leaves are shards, grouped into racks and racks into regions. A leaf's draw for a key is an exponential variate with the
-shard's weight as rate, taken from a hash of key and shard name; the draw of a rack or region is the least among its
-leaves, which is exponential with its total weight. A key descends into the region, then the rack, then the shard with the
-least draw. A changed weight alters draws of its own subtree only, so keys move only into or out of that subtree, and a
-new shard takes keys only into itself.
+Leaves are shards, grouped into racks and racks into regions; a node weighs what the shards below it weigh. A node's draw for a key is an
+exponential variate with its weight as rate, taken from a hash of the key and the node's own name. A key descends into the region
+with the least draw, then into the least of that region's racks, then of that rack's shards, so a row costs the children of
+three nodes however large the tree is. A changed weight alters the draws of the nodes above it only: keys move into or out of those,
+never between two nodes whose weights stay. grow() puts a new shard into a region of its own, which then takes keys only into itself.
+
+The tree is a constant of the plan, a list of children for every node, and not an expression for each shard.
 
 Slots number the rows of a shard without gaps. Rows are ranked inside (shard, block) groups and shifted by the sizes of the
 blocks before, so no task holds a whole shard. Block counts are shards x blocks rows, a bound that doesn't grow with the data.
@@ -12,6 +14,7 @@ blocks before, so no task holds a whole shard. Block counts are shards x blocks
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -29,42 +32,49 @@ class Leaf(NamedTuple):
 
 
 def even_tree(shards: int, per_rack: int = 4, racks_per_region: int = 2) -> list[Leaf]:
-    """Shards 0 .. n-1 dealt in order over racks and regions; a longer tree begins with the shorter one."""
+    """Shards 0 .. n-1 dealt in order over racks and regions."""
     return [Leaf(f"region{s // (per_rack * racks_per_region)}", f"rack{s // per_rack}", s) for s in range(shards)]
 
 
-def _draw(key: Column, leaf: Leaf) -> Column:
-    """-ln(u) / weight, u in (0, 1) from 52 bits of the hash."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(f"shard-{leaf.shard}")), 12)
-    return -F.log((bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))) / F.lit(float(leaf.weight))
+def grow(tree: Sequence[Leaf], weight: float = 1.0) -> list[Leaf]:
+    """The tree with one more shard, in a region of its own."""
+    shard = max((x.shard for x in tree), default=-1) + 1
+    return [*tree, Leaf(f"region of shard {shard}", "rack", shard, weight)]
 
 
-def _least(items: list[Column]) -> Column:
-    return items[0] if len(items) == 1 else F.least(*items)
+def children(tree: Sequence[Leaf]) -> list[list[list[dict]]]:
+    """For each of the three levels, the children of each node above: name, weight and the number of the child, of a leaf its shard."""
+    levels: list[dict] = [{(): {}}, {}, {}]
+    for x in tree:
+        if x.weight > 0:
+            path = (x.region, x.rack, x.shard)
+            for depth in range(3):
+                nodes = levels[depth].setdefault(path[:depth], {})
+                nodes[path[: depth + 1]] = nodes.get(path[: depth + 1], 0.0) + x.weight
+    if not levels[0][()]:
+        raise ValueError("the tree needs a shard of positive weight")
+    out = []
+    for depth, level in enumerate(levels):
+        number = {path: k for k, path in enumerate(levels[depth + 1])} if depth < 2 else None
+        name = lambda path: f"shard {path[2]}" if len(path) == 3 else "/".join(path)
+        out.append([[{"name": name(p), "weight": w, "child": p[2] if number is None else number[p]} for p, w in nodes.items()] for nodes in level.values()])
+    return out
 
 
-def tree_shard(key: Column, tree: Sequence[Leaf], draws: dict[int, Column] | None = None) -> Column:
-    """The shard a key descends to. draws: columns that already hold the leaves' draws, by shard."""
-    live = [x for x in tree if x.weight > 0]
-    if not live:
-        raise ValueError("the tree needs a shard of positive weight")
-    draws = draws or {x.shard: _draw(key, x) for x in live}
+def _draw(key: Column, node: Column) -> Column:
+    """-ln(u) / weight, u in (0, 1) from 52 bits of the hash."""
+    bits = F.shiftrightunsigned(F.xxhash64(key, node["name"]), 12)
+    return -F.log((bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))) / node["weight"]
 
-    def descend(leaves: list[Leaf], levels: tuple[str, ...]) -> Column:
-        if not levels:
-            return F.lit(leaves[0].shard)
-        groups: dict = {}
-        for x in leaves:
-            groups.setdefault(getattr(x, levels[0]), []).append(x)
-        least = {g: _least([draws[x.shard] for x in xs]) for g, xs in groups.items()}
-        best = _least(list(least.values()))
-        *first, last = groups
-        out = descend(groups[last], levels[1:])
-        for g in reversed(first):
-            out = F.when(least[g] == best, descend(groups[g], levels[1:])).otherwise(out)
-        return out
 
-    return descend(live, ("region", "rack", "shard"))
+def tree_shard(key: Column, tree: Sequence[Leaf]) -> Column:
+    """The shard a key descends to."""
+    at = F.lit(0)
+    for level in children(tree):
+        nodes = F.from_json(F.lit(json.dumps(level)), "array<array<struct<name: string, weight: double, child: int>>>")
+        draws = F.transform(F.get(nodes, at), lambda x: F.struct(_draw(key, x).alias("draw"), x["child"].alias("child")))
+        at = F.array_min(draws)["child"]
+    return at
 
 
 def shard_documents(
@@ -79,12 +89,9 @@ def shard_documents(
     parts = shuffle_partitions(docs.sparkSession)
     body = utf8(text_or_empty(text_col))
     rows = docs.select(F.col(id_col).alias("id"), (F.length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("crc"))
-    leaves = {x.shard: x for x in [*tree, *(grown or [])]}
-    rows = rows.select("*", *[_draw(F.col("id"), x).alias(f"draw{s}") for s, x in leaves.items()])
-    at = lambda t: {x.shard: F.col(f"draw{x.shard}") if leaves[x.shard] == x else _draw(F.col("id"), x) for x in t if x.weight > 0}
     rows = rows.select(
-        "id", "size", "crc", tree_shard(F.col("id"), tree, at(tree)).alias("shard"),
-        (tree_shard(F.col("id"), grown, at(grown)) if grown else F.lit(None).cast("int")).alias("grown_shard"),
+        "id", "size", "crc", tree_shard(F.col("id"), tree).alias("shard"),
+        (tree_shard(F.col("id"), grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
         F.pmod(F.xxhash64("id", "crc"), F.lit(blocks)).cast("int").alias("block"),
     )
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -97,4 +104,5 @@ def shard_documents(
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_documents(table(spark, sf_dir, "documents"), even_tree(16), even_tree(17))
+    """shard_documents over all documents, with 16 shards and one more; nulls, repeats, empty tables and extra columns as there."""
+    return shard_documents(table(spark, sf_dir, "documents"), even_tree(16), grow(even_tree(16)))

@@ -62,21 +62,54 @@ def test_exact_dedup_hot_text(spark):
 
 
 def test_sharding(spark, docs, empty, rows):
-    got = sharding.shard_documents(docs, sharding.even_tree(16), sharding.even_tree(17)).collect()
+    tree = sharding.even_tree(16)
+    got = sharding.shard_documents(docs, tree, sharding.grow(tree)).collect()
     assert sorted((g["size"], g["text_crc32"]) for g in got) == sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t in rows)
     ids = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
-    many = sharding.shard_documents(ids, sharding.even_tree(16), sharding.even_tree(17)).toPandas()
+    many = sharding.shard_documents(ids, tree, sharding.grow(tree)).toPandas().set_index("doc_id").sort_index()
     moved = many[many["shard"] != many["grown_shard"]]
     assert set(moved["grown_shard"]) == {16} and abs(len(moved) - 20_000 / 17) < 120
     for _, slots in many.groupby("shard")["slot"]:
         assert sorted(slots) == list(range(len(slots))) and abs(len(slots) - 1250) < 150
-    heavier = [x._replace(weight=3.0) if x.shard == 5 else x for x in sharding.even_tree(16)]
-    other = sharding.shard_documents(ids, heavier).toPandas().set_index("doc_id")["shard"].sort_index()
-    changed = many.set_index("doc_id")["shard"].sort_index() != other
-    assert set(other[changed]) == {5}
     assert sharding.shard_documents(empty, sharding.even_tree(3)).count() == 0
 
 
+def test_sharding_moves_keys_only_where_weights_change(spark):
+    tree = sharding.even_tree(16)
+    ids = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    place = lambda t: sharding.shard_documents(ids, t).toPandas().set_index("doc_id")["shard"].sort_index()
+    path = {x.shard: (x.region, x.rack, x.shard) for x in tree}
+    before, changed = place(tree), path[5]
+    after = place([x._replace(weight=3.0) if x.shard == 5 else x for x in tree])
+    fork = Counter()
+    for a, b in zip(before, after, strict=True):
+        if a != b:
+            level = next(k for k in range(3) if path[a][k] != path[b][k])
+            assert path[b][: level + 1] == changed[: level + 1]
+            fork[level] += 1
+    assert min(fork[k] for k in range(3)) > 100  # each level draws anew
+    assert abs((after == 5).mean() - 3 / 18) < 0.02
+
+
+def test_sharding_equals_brute_force(spark):
+    """The descent, with draws of single nodes taken one by one."""
+    tree = [sharding.Leaf("a", "x", 0, 2.0), sharding.Leaf("a", "y", 1, 0.5), sharding.Leaf("b", "x", 2), sharding.Leaf("b", "x", 3, 0.0), sharding.Leaf("c", "z", 4)]
+    ids = spark.createDataFrame([(i,) for i in [*range(300), None]], "doc_id long").withColumn("text", F.lit("t"))
+    weights = Counter()
+    for x in tree:
+        for name in (x.region, f"{x.region}/{x.rack}", f"shard {x.shard}"):
+            weights[name] += x.weight
+    names = [n for n in weights if weights[n]]
+    bits = ids.select("doc_id", *[F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(n)), 12).alias(n) for n in names]).collect()
+    draw = lambda row, n: -math.log((row[n] + 0.5) / (1 << 52)) / weights[n]
+    want = {}
+    for row in bits:
+        region = min("abc", key=lambda r: draw(row, r))
+        rack = min({x.rack for x in tree if x.region == region}, key=lambda k: draw(row, f"{region}/{k}"))
+        want[row["doc_id"]] = min((x.shard for x in tree if (x.region, x.rack) == (region, rack) and x.weight), key=lambda s: draw(row, f"shard {s}"))
+    assert {g["doc_id"]: g["shard"] for g in sharding.shard_documents(ids, tree).collect()} == want
+
+
 def test_packing(docs, empty, rows):
     import numpy as np
     import public_tokenizers as public
@@ -222,3 +255,109 @@ def test_near_groups(docs, empty, rows):
     kept = near_dedup.drop_near_copies(docs)
     assert kept.columns == docs.columns and kept.count() == len(of)
     assert near_dedup.near_groups(empty).count() == 0
+
+
+def test_near_groups_equal_brute_force(spark):
+    """All pairs by weighted Jaccard, on chains of edits, a large group with few unlike copies, and copies."""
+    import numpy as np
+
+    r = random.Random(11)
+    say = lambda n: [r.choice(WORDS) + r.choice(WORDS) for _ in range(n)]
+    base, texts = say(150), []
+    for n in range(160):  # edits of one text, most within 0.8 of it, some beyond
+        words = list(base)
+        for at in r.sample(range(150), r.choice([1, 1, 2, 2, 3, 4])):
+            words[at] = r.choice(WORDS) * 2
+        texts.append(" ".join(words))
+    chain = say(150)
+    for n in range(12):  # each near the one before only
+        chain = chain[:-2] + say(2) if n % 2 else say(2) + chain[2:]
+        texts.append(" ".join(chain))
+    texts += [" ".join(say(80)) for _ in range(40)] + texts[:5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, hashes, _ = near_dedup.document_shingles(texts)
+    df = dict(zip(*(x.tolist() for x in np.unique(hashes, return_counts=True)), strict=True))
+    packed = []
+    for t in texts:
+        _, h, tf = near_dedup.document_shingles([t])
+        v = np.empty(len(h), near_dedup.VECTOR)
+        v["hash"], v["tf"], v["code"] = h, tf, near_dedup.df_code(np.asarray([df[x] for x in h.tolist()]))
+        packed.append(v.tobytes())
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if near_dedup.weighted_jaccard(packed[i], packed[j], len(texts)) >= 0.8 - 1e-9 and label[i] != label[j]:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    got = {g["doc_id"]: g["class_id"] for g in near_dedup.near_groups(docs).collect()}
+    assert got == dict(enumerate(label))
+    assert 5 < len(set(label[:160])) < 100 and len(set(label[160:172])) < 12
+
+
+def test_near_copies_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 5, "x", True), (2, "a b c d e f", 6, "y", False), (None, None, 7, "z", None)], "doc_id long, text string, k_id long, k_sha string, row boolean")
+    kept = near_dedup.drop_near_copies(docs)
+    assert kept.columns == docs.columns and sorted(r["k_id"] for r in kept.collect()) == [5, 7]
+
+
+def brute_force_tree(train, texts, depth=context_tree.DEPTH):
+    """log10 probabilities of texts by context-tree weighting, with a dictionary of nodes and Python's own logarithms of gamma."""
+    low = lambda t: [None] * depth + list(bytes(b + 32 if 65 <= b <= 90 else b for b in t.encode())) + [None]
+
+    def decisions(t):
+        s = low(t)
+        for i in range(depth, len(s)):
+            symbol, prefix = 255 if s[i] is None else s[i], ""
+            for b in f"{symbol:08b}":
+                yield tuple(s[i - depth : i]), prefix, int(b)
+                prefix += b
+
+    seen = defaultdict(lambda: [0, 0])
+    for t in train:
+        for before, prefix, b in decisions(t):
+            for d in range(depth + 1):
+                seen[before[depth - d :], prefix][b] += 1
+    children = defaultdict(list)
+    for before, prefix in seen:
+        if before:
+            children[before[1:], prefix].append((before, prefix))
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+    weighted = {}
+    for node in sorted(seen, key=lambda x: -len(x[0])):
+        own = kt(*seen[node])
+        if len(node[0]) < depth:
+            below = sum(weighted[c] for c in children[node])
+            top = max(own, below)
+            own = top + math.log(math.exp(own - top) + math.exp(below - top)) - math.log(2)
+        weighted[node] = own
+    out = []
+    for t in texts:
+        total = 0.0
+        for before, prefix, b in decisions(t):
+            p = 0.5
+            for d in range(depth, -1, -1):
+                node = before[depth - d :], prefix
+                if node in seen:
+                    zeros, ones = seen[node]
+                    stop = 1.0 if d == depth else math.exp(kt(zeros, ones) - math.log(2) - weighted[node])
+                    p = stop * (ones + 0.5) / (zeros + ones + 1) + (1 - stop) * p
+                else:
+                    p = 0.5
+            total += math.log10(p if b else 1 - p)
+        out.append(total)
+    return out
+
+
+def test_context_tree_equals_brute_force(spark, rows, monkeypatch):
+    texts = [(i, (t or "")[:600]) for i, t in rows] + [(40, "a\0b"), (41, "a\0"), (42, "a"), (43, "the theme then the thesis"), (44, "the thermal these")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    train = [t for i, t in texts if i is None or zlib.crc32(str(i).encode()) % 10]
+    want = sorted(round(x, 4) for x in brute_force_tree(train, [t for _, t in texts]))
+    for parts in (1, 3):  # a range answered whole, and in parts; counts added at once, and in rounds
+        tiles = context_tree.tiles_for
+        with monkeypatch.context() as m:
+            m.setattr(context_tree, "tiles_for", lambda d, s, p=parts: (tiles(d, s)[0], p))
+            m.setattr(context_tree, "BATCH_BYTES", 8 << 20 if parts == 1 else 512)
+            m.setattr(context_tree, "FAN_IN", 256 if parts == 1 else 2)
+            got = context_tree.language_scores(docs).collect()
+        assert sorted(round(g["score"], 4) for g in got) == pytest.approx(want, abs=2e-4)
