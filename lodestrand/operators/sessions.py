@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrand.sources.transcripts import once
+
 SYNTHETIC_MODEL = "<synthetic>"
 POSITION = ("source_rank", "line_no")
 
@@ -14,11 +16,16 @@ def _ord() -> Column:
 
 
 def merge_snapshots(events: DataFrame) -> DataFrame:
-    """One event per (session_id, uuid), the oldest snapshot's first; events without uuid all stay. By timestamp text, nulls last."""
+    """One event per (session_id, uuid), the oldest snapshot's first; events without uuid all stay. in_order() sorts them, for a sink."""
     named = events.where("uuid IS NOT NULL")
     first = Window.partitionBy("session_id", "uuid").orderBy(*POSITION)
     kept = named.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
-    return kept.unionByName(events.where("uuid IS NULL")).orderBy("session_id", F.asc_nulls_last("ts_raw"), *POSITION)
+    return kept.unionByName(events.where("uuid IS NULL"))
+
+
+def in_order(events: DataFrame) -> DataFrame:
+    """Merged events as they are written: by session, then timestamp text, nulls last."""
+    return events.orderBy("session_id", F.asc_nulls_last("ts_raw"), *POSITION)
 
 
 def conversation(events: DataFrame) -> DataFrame:
@@ -55,7 +62,7 @@ def _optional(v: Column, name: str, kind: str) -> Column:
 
 def blocks_of(content: Column) -> Column:
     """Content blocks of an array, or an empty array if any of them isn't well-formed: one bad block empties the message."""
-    items = F.when(F.schema_of_variant(content).startswith("ARRAY"), F.try_variant_get(content, "$", "array<variant>"))
+    items = F.try_variant_get(content, "$", "array<variant>")
     good = lambda v: (
         F.when(_field(v, "type") == "text", _is(v, "text", "STRING"))
         .when(_field(v, "type") == "thinking", _is(v, "thinking", "STRING") & _optional(v, "signature", "STRING"))
@@ -70,7 +77,8 @@ def blocks_of(content: Column) -> Column:
 def plain_text(content: Column, blocks: Column) -> Column:
     """A bare string as it is, else the text blocks with a blank line between."""
     texts = F.transform(F.filter(blocks, lambda v: _field(v, "type") == "text"), lambda v: _field(v, "text"))
-    return F.when(F.schema_of_variant(content) == "STRING", F.try_variant_get(content, "$", "string")).otherwise(F.array_join(texts, "\n\n"))
+    bare = (F.size(blocks) == 0) & (F.schema_of_variant(content) == "STRING")
+    return F.when(bare, F.try_variant_get(content, "$", "string")).otherwise(F.array_join(texts, "\n\n"))
 
 
 def result_text(v: Column) -> Column:
@@ -86,15 +94,22 @@ def reconstruct(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A result may come before or after its use; of several with one id the last stands. Messages without text and calls are left out.
     """
-    turns = conversation(events).withColumn("blocks", blocks_of(F.col("content")))
-    turns = turns.withColumn("text", F.coalesce(plain_text(F.col("content"), F.col("blocks")), F.lit("")))
-    used = turns.where("type = 'assistant'").select("session_id", *POSITION, F.posexplode(F.filter("blocks", lambda v: _field(v, "type") == "tool_use")).alias("call_ord", "v"))
-    uses = used.select("session_id", *POSITION, "call_ord", _field(F.col("v"), "id").alias("tool_use_id"), _field(F.col("v"), "name").alias("name"), F.to_json(_field(F.col("v"), "input", "variant")).alias("input"))
-    given = turns.where("type = 'user'").select("session_id", *POSITION, F.posexplode(F.filter("blocks", lambda v: _field(v, "type") == "tool_result")).alias("nth", "v"))
-    last = given.groupBy("session_id", _field(F.col("v"), "tool_use_id").alias("tool_use_id")).agg(F.max_by(result_text(_field(F.col("v"), "content", "variant")), F.struct(*POSITION, "nth")).alias("output"))
-    calls = uses.join(last, ["session_id", "tool_use_id"], "left")
-    has_calls = F.size(F.filter("blocks", lambda v: (_field(v, "type") == "tool_use"))) > 0
-    messages = turns.where((F.col("text") != "") | ((F.col("type") == "assistant") & has_calls)).select("session_id", *POSITION, F.col("type").alias("role"), F.col("text").alias("content"))
+    turns = once(conversation(events).select("session_id", *POSITION, "type", "content"), blocks=blocks_of(F.col("content")))
+    called = F.exists("blocks", lambda v: _field(v, "type") == "tool_use") & (F.col("type") == "assistant")
+    spoken = once(turns, text=F.coalesce(plain_text(F.col("content"), F.col("blocks")), F.lit("")), called=called)
+    messages = spoken.where((F.col("text") != "") | F.col("called")).select("session_id", *POSITION, F.col("type").alias("role"), F.col("text").alias("content"))
+
+    # Uses and results of one id meet in one shuffle; call_ord counts a message's uses.
+    wanted = F.when(F.col("type") == "assistant", "tool_use").otherwise("tool_result")
+    parts = turns.select("session_id", *POSITION, "type", wanted.alias("wanted"), "blocks")
+    parts = parts.select("session_id", *POSITION, "type", F.posexplode(F.filter("blocks", lambda v: _field(v, "type") == F.col("wanted"))).alias("nth", "v"))
+    use, v = F.col("type") == "assistant", F.col("v")
+    parts = parts.select(
+        "session_id", *POSITION, F.col("nth").alias("call_ord"), use.alias("use"), F.when(use, _field(v, "id")).otherwise(_field(v, "tool_use_id")).alias("tool_use_id"),
+        F.when(use, _field(v, "name")).alias("name"), F.when(use, F.to_json(_field(v, "input", "variant"))).alias("input"), F.when(~use, result_text(_field(v, "content", "variant"))).alias("output"),
+    )
+    last = F.max(F.when(~F.col("use"), F.struct(*POSITION, "call_ord", "output"))).over(Window.partitionBy("session_id", "tool_use_id"))
+    calls = parts.withColumn("output", last["output"]).where("use").drop("use")
     return messages, calls.select("session_id", *POSITION, "call_ord", "tool_use_id", "name", "input", "output")
 
 
