@@ -1,10 +1,12 @@
 """Toxicity by the nearest labelled examples.
 
-Terms are lower-cased words and their leading four to six characters. A bounded sample of labelled rows gives the examples; their
+Terms are lower-cased words. A bounded sample of labelled rows gives the examples; their
 vectors are over all their terms, with document frequencies from all documents, and terms that go with the label weigh
 `lift_weight` times as much. Examples lie in an inverted index whose postings are cut into blocks of BLOCK examples with the
-greatest weight of each; a query bounds every block by these maxima, opens blocks by falling bound and stops once no
-unopened block can reach the k-th best cosine, so its neighbours are exact. Terms that no example has are left out of a query's
+greatest weight of each. Terms that more than one in DENSE examples have prune nothing; their rows of the index are full vectors, and
+their part of all cosines is taken for many queries at once. A query bounds every block by the greatest such part and the
+maxima of its other terms, opens blocks by falling bound and stops once no unopened block can reach the k-th best cosine, so its
+neighbours are exact. Terms that no example has are left out of a query's
 vector: they don't change which examples are nearest. Examples with a cosine of 1 vote alone.
 Votes are weighted by closeness and by how thinly the example's class was sampled, then mapped to frequencies seen when each
 example is scored by the others. All bounds are parameters: the index doesn't grow with the corpus, and is broadcast.
@@ -20,7 +22,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,25 +30,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import scratch, table
+from .shared import scratch, table, tidy
 
 WORD = re.compile(r"\w+")
-BLOCK, CACHE, RANGE = 64, 400_000, 4096
+BLOCK, CACHE, RANGE, DENSE, QUERIES = 64, 100_000, 4096, 24, 64
 
 
-def terms_of(word: str) -> set[str]:
-    return {word, *(word[:n] + "*" for n in (4, 5, 6) if len(word) >= n)}
+def words_of(text: str) -> list[str]:
+    return WORD.findall(text.lower())
 
 
 class _Features(dict):
-    """Word to the numbers of its terms."""
+    """Word to its term's number, -1 if it isn't one, for up to CACHE words at a time."""
 
     def __init__(self, vocabulary: dict[str, int]):
         super().__init__()
         self.vocabulary = vocabulary
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        found = tuple(sorted(self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary))
+    def __missing__(self, word: str) -> int:
+        found = self.vocabulary.get(word, -1)
         if len(self) >= CACHE:
             self.clear()
         if len(word) <= 48:
@@ -57,8 +58,11 @@ class _Features(dict):
 
 def term_counts(text: str, features: _Features) -> np.ndarray:
     """Sorted (term number, occurrences) of the whole text, a row each."""
-    found = np.fromiter(chain.from_iterable(map(features.__getitem__, WORD.findall(text.lower()))), np.int32)
-    return np.stack(np.unique(found, return_counts=True), axis=1).astype(np.int32)
+    words = words_of(text)
+    found = np.sort(np.fromiter(map(features.__getitem__, words), np.int32, len(words)))
+    found = found[np.searchsorted(found, 0) :]
+    starts = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else np.empty(0, np.int64)
+    return np.stack([found[starts], np.diff(np.append(starts, len(found)))], axis=1).astype(np.int32)
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -91,18 +95,26 @@ class NeighbourIndex:
         n = len(self.examples)
         self.blocks = -(-n // BLOCK)
         sizes = [len(x[0]) for x in self.examples]
-        term = np.concatenate([x[0][:, 0] for x in self.examples]) if n else np.empty(0, np.int32)
-        order = np.argsort(term, kind="stable")
-        term = term[order]
-        self.where = np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
-        self.weight = (np.concatenate([self.vector(x[0])[1] for x in self.examples]) if n else np.empty(0))[order]
+        vectors = [self.vector(x[0]) for x in self.examples]
+        term = np.concatenate([np.empty(0, np.int32), *(t for t, _ in vectors)])
+        weight, where = np.concatenate([np.empty(0), *(w for _, w in vectors)]), np.repeat(np.arange(n, dtype=np.int32), sizes)
+        held = np.bincount(term, minlength=len(self.idf))
+        common = np.argsort(-held, kind="stable")[:1024]
+        common = np.sort(common[held[common] > n / DENSE])
+        self.column = np.full(len(self.idf), -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.dense, full = np.zeros((len(common), n)), self.column[term] >= 0
+        self.dense[self.column[term[full]], where[full]] = weight[full]
+        order = np.argsort(np.where(full, -1, term), kind="stable")[full.sum() :]
+        term, self.where, self.weight = term[order], where[order], weight[order]
         # An entry for every term and block that has it: where its postings start, and their greatest weight.
         new = np.ones(len(term), bool)
         new[1:] = (term[1:] != term[:-1]) | (self.where[1:] // BLOCK != self.where[:-1] // BLOCK)
+        self.opens = np.arange(0, n, BLOCK)
         starts = np.flatnonzero(new)
         self.post = np.append(starts, len(term))
         self.block = self.where[starts] // BLOCK
-        self.block_max = np.maximum.reduceat(self.weight, starts) if n else np.empty(0)
+        self.block_max = np.maximum.reduceat(self.weight, starts) if len(starts) else np.empty(0)
         self.first = np.searchsorted(term[starts], np.arange(len(self.idf) + 1))
         self.label = np.asarray([x[1] for x in self.examples], np.float64)
         self.share = np.asarray([x[2] for x in self.examples], np.float64)
@@ -129,13 +141,25 @@ class NeighbourIndex:
         w = (1 + np.log(counts[:, 1])) * self.idf[counts[:, 0]]
         return counts[:, 0], w / math.sqrt((w * w).sum()) if len(w) else w
 
-    def nearest(self, counts: Iterable[tuple[int, int]], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest examples with any cosine above 0; equals by number."""
+    def common_part(self, queries: list[np.ndarray]) -> np.ndarray:
+        """Of the cosines of some queries, given as term counts, with all examples: what common terms contribute."""
+        part = np.zeros((len(queries), len(self.dense)))
+        for row, counts in zip(part, queries, strict=True):
+            terms, weights = self.vector(counts)
+            at = self.column[terms]
+            row[at[at >= 0]] = weights[at >= 0]
+        return part @ self.dense
+
+    def nearest(self, counts: Iterable[tuple[int, int]], k: int, without: int = -1, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and cosines of the k nearest examples with any cosine above 0; equals by number. base: the query's common part."""
         fs, q = self.vector(counts)
+        base = self.common_part([counts])[0] if base is None else base
+        rare = self.column[fs] < 0
+        fs, q = fs[rare], q[rare]
         has = self.first[fs + 1] - self.first[fs]
         entry, part = _ranges(self.first[fs], has), np.repeat(q, has)
         block = self.block[entry]
-        bound = np.bincount(block, part * self.block_max[entry], self.blocks)
+        bound = np.bincount(block, part * self.block_max[entry], self.blocks) + np.maximum.reduceat(base, self.opens)
         order = np.argsort(-bound, kind="stable")
         ids, sims, kth, a, step = np.empty(0, np.int64), np.empty(0), 0.0, 0, 8
         while a < self.blocks:
@@ -143,15 +167,15 @@ class NeighbourIndex:
             some = some[(bound[some] > 0) & (bound[some] >= kth - 1e-12)]
             if not len(some):
                 break
-            a, step, opened = a + step, 4 * step, np.zeros(self.blocks, bool)
+            a, step, opened = a + step, 16 * step, np.zeros(self.blocks, bool)
             opened[some] = True
             here = opened[block]
             at, lengths = self.post[entry[here]], self.post[entry[here] + 1] - self.post[entry[here]]
             at = _ranges(at, lengths)
-            scores = np.bincount(self.where[at], np.repeat(part[here], lengths) * self.weight[at], len(self.examples))
-            new = np.flatnonzero(scores)
-            new = new[new != without]
-            ids, sims = np.concatenate([ids, new]), np.concatenate([sims, scores[new]])
+            new = np.flatnonzero(np.repeat(opened, BLOCK)[: len(base)])
+            scores = (base + np.bincount(self.where[at], np.repeat(part[here], lengths) * self.weight[at], len(base)))[new]
+            found = (scores > 0) & (scores >= kth - 1e-11) & (new != without)
+            ids, sims = np.concatenate([ids, new[found]]), np.concatenate([sims, scores[found]])
             if len(ids) > k:
                 near = sims >= np.partition(sims, -k)[-k] - 1e-11
                 ids, sims = ids[near], sims[near]
@@ -172,7 +196,11 @@ class NeighbourIndex:
 
     def _calibrate(self) -> None:
         """Pool adjacent violators over leave-one-out votes."""
-        raw = np.asarray([self.vote(*self.nearest(x[0], self.k, without=e)) for e, x in enumerate(self.examples)])
+        raw = np.empty(len(self.examples))
+        for a in range(0, len(raw), QUERIES):
+            some = [x[0] for x in self.examples[a : a + QUERIES]]
+            for e, (counts, base) in enumerate(zip(some, self.common_part(some), strict=True), a):
+                raw[e] = self.vote(*self.nearest(counts, self.k, e, base))
         blocks: list[list[float]] = []
         for e in np.argsort(raw, kind="stable"):
             blocks.append([self.share[e], self.share[e] * raw[e], self.share[e] * self.label[e]])
@@ -181,30 +209,36 @@ class NeighbourIndex:
                 blocks[-1] = [a + b for a, b in zip(blocks[-1], top, strict=True)]
         self.knots = np.asarray([b[1] / b[0] for b in blocks]), np.asarray([b[2] / b[0] for b in blocks])
 
-    def score(self, counts: np.ndarray) -> tuple[float, float, list]:
-        """Score, greatest cosine and the ids of the five nearest examples."""
-        if not len(counts) or not self.examples:
-            return self.blank_score, 0.0, []
-        key = hashlib.blake2b(counts.tobytes(), digest_size=16).digest()
-        if (known := self.memo.get(key)) is None:
-            ids, sims = self.nearest(counts, self.k)
-            raw = self.vote(ids, sims)
-            # A little of the raw vote stays in, so that votes within one pooled block keep their order.
-            known = 0.98 * float(np.interp(raw, *self.knots)) + 0.02 * raw, float(sims[0]) if len(sims) else 0.0, [self.ids[i] for i in ids[:5]]
-            if len(self.memo) >= CACHE // 8:
-                self.memo.clear()
-            self.memo[key] = known
-        return known
+    def score(self, queries: list[np.ndarray]) -> list[tuple[float, float, list]]:
+        """For each of some term counts: score, greatest cosine and the ids of the five nearest examples."""
+        keys = [hashlib.blake2b(c.tobytes(), digest_size=16).digest() for c in queries]
+        if not self.examples:
+            return [(self.blank_score, 0.0, [])] * len(queries)
+        new = {k: c for k, c in zip(keys, queries, strict=True) if len(c) and k not in self.memo}
+        out = {k: self.memo[k] for k in keys if k in self.memo}
+        if len(self.memo) + len(new) > CACHE // 8:
+            self.memo.clear()
+        names = list(new)
+        for a in range(0, len(names), QUERIES):
+            some = names[a : a + QUERIES]
+            for key, base in zip(some, self.common_part([new[k] for k in some]), strict=True):
+                ids, sims = self.nearest(new[key], self.k, base=base)
+                raw = self.vote(ids, sims)
+                # A little of the raw vote stays in, so that votes within one pooled block keep their order.
+                out[key] = self.memo[key] = 0.98 * float(np.interp(raw, *self.knots)) + 0.02 * raw, float(sims[0]) if len(sims) else 0.0, [self.ids[i] for i in ids[:5]]
+        return [out[k] if len(c) else (self.blank_score, 0.0, []) for k, c in zip(keys, queries, strict=True)]
 
 
 def document_frequencies(docs: DataFrame, text_col: str, held: Broadcast) -> np.ndarray:
     """In how many of all documents each term is. Every task sends one array a range of RANGE terms."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, seen = _Features(held.value), np.zeros(len(held.value), np.int64)
+        features, seen = _Features(held.value), np.zeros(len(held.value) + 1, np.int64)  # the last one counts words that aren't terms
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen[term_counts(text or "", features)[:, 0]] += 1
+                words = set(words_of(text or ""))
+                seen[np.fromiter(map(features.__getitem__, words), np.int32, len(words))] += 1
+        seen = seen[:-1]
         at = range(0, len(seen), RANGE)
         yield pa.RecordBatch.from_arrays([pa.array(list(at), pa.int32()), pa.array([seen[a : a + RANGE] for a in at], pa.list_(pa.int64()))], names=["a", "seen"])
 
@@ -242,7 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         for batch in batches:
             seen = (Counter(), Counter())
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[y].update({t for w in set(WORD.findall((text or "").lower())) for t in terms_of(w)})
+                seen[y].update(set(words_of(text or "")))
             for y, counts in enumerate(seen):
                 keys = list(counts)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([counts[t] * (1 - y) for t in keys], pa.int64()), pa.array([counts[t] * y for t in keys], pa.int64())], names=["term", "a", "b"])
@@ -291,10 +325,12 @@ def score_toxicity(docs: DataFrame, index: NeighbourIndex, id_col: str = "doc_id
         index = held.value
         features = _Features(index.vocabulary)
         for batch in batches:
-            got = [index.score(term_counts(t or "", features)) for t in batch.column(1).to_pylist()]
+            got = index.score([term_counts(t or "", features) for t in batch.column(1).to_pylist()])
             score = [min(1.0, max(0.0, g[0])) for g in got]
             arrays = [batch.column(0), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.list_(batch.schema.types[0]))]
             yield pa.RecordBatch.from_arrays([*arrays, *batch.columns[2:]], names=[f.name for f in out])
+        index.memo.clear()
+        tidy()
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("row")] if carry else []))
     return picked.mapInArrow(run, T.StructType(out)).withColumnRenamed("id", id_col)
@@ -310,6 +346,8 @@ def fit_on_labels(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Neighbou
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score_toxicity over all documents, fitted on the labels of rows that aren't held out; nulls, repeats, empty tables and extra
+    columns as there."""
     docs = table(spark, sf_dir, "documents")
     scored = score_toxicity(docs, fit_on_labels(spark, docs, sf_dir))
     return scored.select("doc_id", held_out("doc_id", 5).alias("held_out"), "score", "predicted", "similarity", "evidence")
