@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import sets, text, times
 from lodestrand.operators import near_pages, pages, requests, sessions
+from lodestrand.plans import jobs
 from lodestrand.sources import pages as page_source
 from lodestrand.sources import runs, sinks, transcripts
 
@@ -64,12 +65,11 @@ def turns_as_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def docs_as_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _t(spark, sf_dir, "documents")
-    line = F.get(F.split("text", "\n"), F.lit(0))
-    return d.select(F.when(F.col("lang").isin("en", "fr"), "entities").otherwise("concepts").alias("kind_dir"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("slug"), F.trim(F.substring(line, 1, 60)).alias("title"), text.truncate_chars(text.collapse_whitespace("text")).alias("summary"))
+    return d.select(F.when(F.col("lang").isin("en", "fr"), "entities").otherwise("concepts").alias("kind_dir"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("slug"), F.concat_ws(" ", "source", "doc_id").alias("title"), text.truncate_chars(text.collapse_whitespace("text")).alias("summary"))
 
 
 _TOPICS = """topics AS (SELECT CASE WHEN lang IN ('en', 'fr') THEN 'entities' ELSE 'concepts' END AS kind_dir, 'doc-' || doc_id AS slug,
-  trim(left(split_part(text, chr(10), 1), 60)) AS title, doc_id,
+  source || ' ' || doc_id AS title, doc_id,
   CASE WHEN length(c) > 400 THEN left(c, 399) || '…' ELSE c END AS summary
   FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS c FROM documents))"""
 
@@ -108,16 +108,24 @@ def conversation_filter(spark, sf_dir):
     return sessions.reconstruct(turns_as_events(spark, sf_dir))[0].select("session_id", "line_no", "role", "content")
 
 
-@query("SELECT user_id, arg_max(event_type, event_id) FILTER (event_type <> 'error') AS last_type FROM events GROUP BY user_id")
+def events_as_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as assistant turns of their users: the event type as model, errors being synthetic, and as folder but for views; props as usage."""
+    e = _t(spark, sf_dir, "events")
+    kind, props = F.col("event_type"), F.regexp_replace("props", '"k"', '"input_tokens"')
+    return e.select(
+        F.col("user_id").cast("string").alias("session_id"), F.lit(1).alias("source_rank"), F.col("event_id").alias("line_no"), F.lit("assistant").alias("type"), F.when(kind != "view", kind).alias("cwd"),
+        F.col("ts").cast("timestamp").alias("ts"), F.when(kind == "error", sessions.SYNTHETIC_MODEL).otherwise(kind).alias("model"), F.try_parse_json(props).alias("usage"),
+    )
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS session_id, arg_max(event_type, event_id) FILTER (event_type <> 'error') AS last_type FROM events GROUP BY user_id")
 def last_value_by_position(spark, sf_dir):
-    real = F.when(F.col("event_type") != "error", F.col("event_id"))
-    return _t(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", real).alias("last_type"))
+    return sessions.session_metadata(events_as_turns(spark, sf_dir)).select("session_id", F.col("model").alias("last_type"))
 
 
-@query("SELECT user_id, arg_min(event_type, event_id) FILTER (event_type <> 'view') AS first_type FROM events GROUP BY user_id")
+@query("SELECT CAST(user_id AS VARCHAR) AS session_id, arg_min(event_type, event_id) FILTER (event_type <> 'view') AS first_type FROM events GROUP BY user_id")
 def first_value_by_position(spark, sf_dir):
-    real = F.when(F.col("event_type") != "view", F.col("event_id"))
-    return _t(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("event_type", real).alias("first_type"))
+    return sessions.session_metadata(events_as_turns(spark, sf_dir)).select("session_id", F.col("cwd").alias("first_type"))
 
 
 @query("""
@@ -153,10 +161,9 @@ def tool_call_pairing(spark, sf_dir):
     return sessions.reconstruct(transcripts.parse_events(lines.drop("event_id"))[0])[1].select("session_id", "tool_use_id", "name", "input", "output")
 
 
-@query("SELECT user_id, CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS BIGINT) AS k_sum, count(*) AS n FROM events GROUP BY user_id")
+@query("SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(sum(greatest(CAST(props->>'$.k' AS BIGINT), 0)) AS BIGINT) AS k_sum, count(*) AS n FROM events GROUP BY user_id")
 def json_usage_sum(spark, sf_dir):
-    k = F.coalesce(F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint"), F.lit(0))
-    return _t(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(k).alias("k_sum"), F.count("*").alias("n"))
+    return sessions.session_metadata(events_as_turns(spark, sf_dir)).select("session_id", F.col("input_tokens").alias("k_sum"), F.col("event_count").alias("n"))
 
 
 @query("""
@@ -228,9 +235,9 @@ def block_upsert(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text || '<!-- engine:index:start -->old<!-- engine:index:end -->' || chr(10) || text ELSE text END AS page FROM documents)
+WITH p AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text || '<!-- ENGINE-INDEX-START -->old<!-- ENGINE-INDEX-END -->' || chr(10) || text ELSE text END AS page FROM documents)
 SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN replace(page, '-->old<!--', '-->' || 'fresh' || '<!--')
-  ELSE page || CASE WHEN page LIKE '%' || chr(10) THEN '' ELSE chr(10) END || chr(10) || '<!-- engine:index:start -->fresh<!-- engine:index:end -->' || chr(10) END) AS page FROM p""")
+  ELSE page || CASE WHEN page LIKE '%' || chr(10) THEN '' ELSE chr(10) END || chr(10) || '<!-- ENGINE-INDEX-START -->fresh<!-- ENGINE-INDEX-END -->' || chr(10) END) AS page FROM p""")
 def managed_region(spark, sf_dir):
     a, b = FMT.region
     page = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(f"{a}old{b}\n"), "text")).otherwise(F.col("text"))
@@ -317,11 +324,18 @@ def jaccard_bigram(spark, sf_dir):
     return _paired(spark, sf_dir).select("doc_id", text.bigram_set("text").alias("a"), text.bigram_set("other").alias("b")).select("doc_id", both.alias("both"), either.alias("either"))
 
 
-@query("SELECT * FROM (VALUES (1, 2, 5), (2, 0, 4), (3, 0, 2)) t(pair, \"both\", either)")
+#: Stand-ins for letters, as the tables hold no such script.
+_CJK = "原子写文件缓存并发索引会话工具结果页面主题合并重复标题摘要"[:26]
+_AS_CJK = f"translate(lower({{s}}), 'abcdefghijklmnopqrstuvwxyz', '{_CJK}')"
+_HAN = "list_distinct(list_filter(string_split({s}, ''), lambda c: c <> '' AND unicode(c) BETWEEN 19968 AND 40959))"
+
+
+@query(f"""WITH {_PAIRED}, s AS (SELECT doc_id, {_HAN.format(s=_AS_CJK.format(s="x"))} AS a, {_HAN.format(s=_AS_CJK.format(s="y"))} AS b FROM p)
+SELECT doc_id, CAST(len(list_intersect(a, b)) AS INTEGER) AS both, CAST(len(a) + len(b) - len(list_intersect(a, b)) AS INTEGER) AS either FROM s""")
 def cjk_jaccard(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "原子写 file", "原子文件"), (2, "缓存", "并发"), (3, "abc", "索引")], "pair int, x string, y string")
     both, either = text.overlap("a", "b")
-    return rows.select("pair", text.cjk_set("x").alias("a"), text.cjk_set("y").alias("b")).select("pair", both.alias("both"), either.alias("either"))
+    as_cjk = lambda c: F.translate(F.lower(c), "abcdefghijklmnopqrstuvwxyz", _CJK)
+    return _paired(spark, sf_dir).select("doc_id", text.cjk_set(as_cjk("text")).alias("a"), text.cjk_set(as_cjk("other")).alias("b")).select("doc_id", both.alias("both"), either.alias("either"))
 
 
 #: Letters beyond ASCII in the tables; the oracle's edit distance counts bytes, so it sees single bytes in their place.
@@ -330,22 +344,16 @@ _BYTES = " || ".join(f"chr({i})" for i in range(1, 12) if i not in (9, 10)) + "
 _EDIT = f"levenshtein(translate({{a}}, '{_LETTERS}', {_BYTES}), translate({{b}}, '{_LETTERS}', {_BYTES}))"
 
 
-@query(f"""WITH f AS (SELECT doc_id, lang, trim(regexp_replace(lower(left(split_part(text, chr(10), 1), 40)), '[-_\\s]+', ' ', 'g')) AS t, 'doc-' || doc_id AS slug FROM documents),
-s AS (SELECT a.doc_id, b.slug, {_EDIT.format(a="a.t", b="b.t")} AS d, greatest(length(a.t), length(b.t)) AS m FROM f a JOIN f b ON a.lang = b.lang AND a.doc_id <> b.doc_id),
-best AS (SELECT doc_id, slug, CASE WHEN m = 0 THEN 1.0 ELSE 1 - CAST(d AS DOUBLE) / m END AS score FROM s WHERE m = 0 OR 4 * (m - d) >= 3 * m)
-SELECT doc_id, round(max(score), 9) AS match_score, arg_min(slug, (-score, slug)) AS match_slug FROM best GROUP BY doc_id""")
+@query(f"""WITH f AS (SELECT doc_id, lang, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[-_\\s]+', ' ', 'g')) AS t, md5(CAST(doc_id AS VARCHAR)) AS slug FROM documents),
+u AS (SELECT DISTINCT lang, t FROM f), s AS (SELECT a.lang, a.t AS x, b.t AS y, greatest(length(a.t), length(b.t)) AS m, CASE WHEN a.t = b.t THEN 0 WHEN 4 * least(length(a.t), length(b.t)) >= 3 * greatest(length(a.t), length(b.t)) THEN {_EDIT.format(a="a.t", b="b.t")} END AS d FROM u a JOIN u b ON a.lang = b.lang),
+best AS (SELECT f.doc_id, g.slug, CASE WHEN m = 0 THEN 1.0 ELSE 1 - CAST(d AS DOUBLE) / m END AS score FROM s JOIN f ON f.lang = s.lang AND f.t = x JOIN f g ON g.lang = s.lang AND g.t = y WHERE f.doc_id <> g.doc_id AND d IS NOT NULL AND (m = 0 OR 4 * (m - d) >= 3 * m))
+SELECT f.doc_id, round(max(score), 9) AS match_score, arg_min(best.slug, (-score, best.slug)) AS match_slug FROM f LEFT JOIN best USING (doc_id) GROUP BY f.doc_id""")
 def levenshtein_argmax(spark, sf_dir):
-    """The most similar other first line of each document's, within its language."""
-    line = F.substring(F.get(F.split("text", "\n"), F.lit(0)), 1, 40)
-    ident = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
-    d = _t(spark, sf_dir, "documents")
-    facts = d.select("doc_id", F.col("lang").alias("kind_dir"), ident.alias("page_slug"), line.alias("page_title"))
-    # Slugs differ by number only, so titles alone are to decide here.
-    f = facts.select("doc_id", "kind_dir", "page_slug", text.normalize("page_title").alias("x")).alias("f")
-    t = facts.select("kind_dir", F.col("page_slug").alias("slug"), text.normalize("page_title").alias("y")).alias("t")
-    pairs = f.join(t, (F.col("f.kind_dir") == F.col("t.kind_dir")) & (F.col("f.page_slug") != F.col("t.slug")) & text.similar_at_least("x", "y", *pages.MATCH))
-    scored = pairs.select("doc_id", "slug", text.similarity("x", "y").alias("score"))
-    return scored.groupBy("doc_id").agg(F.round(F.max("score"), 9).alias("match_score"), F.min_by("slug", F.struct(-F.col("score"), "slug")).alias("match_slug"))
+    """The most similar other first line of each document's, within its language. Slugs are digests, which are never alike."""
+    d = _t(spark, sf_dir, "documents").where("text IS NOT NULL")
+    facts = d.select("doc_id", F.col("lang").alias("kind_dir"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("page_slug"), F.get(F.split("text", "\n"), F.lit(0)).alias("page_title"))
+    found = pages.fuzzy_pages(facts, facts.select("kind_dir", F.col("page_slug").alias("slug"), F.col("page_title").alias("title")))
+    return found.select("doc_id", F.round("match_score", 9).alias("match_score"), "match_slug")
 
 
 _WORDS = "list_distinct(list_transform(list_filter(regexp_split_to_array(summary, '[^A-Za-z0-9_-]+'), lambda w: length(w) >= 3), lambda w: lower(w)))"
@@ -401,9 +409,10 @@ def _verdict() -> Column:
 _VERDICT = "CASE WHEN toxic = 1 THEN 'delete' WHEN quality = 0 THEN 'move-to-log' ELSE 'keep' END"
 
 
-@query(f"SELECT {_VERDICT} AS verdict, count(*) AS n, count(*) FILTER (toxic = 1) AS toxic FROM labels GROUP BY 1")
+@query(f"SELECT {_VERDICT} AS verdict, count(*) AS n FROM labels GROUP BY 1")
 def verdict_counts(spark, sf_dir):
-    return _t(spark, sf_dir, "labels").groupBy(_verdict().alias("verdict")).agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("toxic"))
+    decided = _t(spark, sf_dir, "labels").select(_verdict().alias("verdict"))
+    return jobs.verdict_report(decided).withColumnRenamed("count", "n")
 
 
 @query(f"""WITH v AS (SELECT doc_id, {_VERDICT} AS verdict FROM labels)
@@ -417,17 +426,58 @@ def apply_verdict(spark, sf_dir):
     return left.select(F.col("slug").cast("long").alias("doc_id"), F.lit(None).cast("string").alias("entry")).unionByName(entries.select(F.col("slug").cast("long").alias("doc_id"), "entry"))
 
 
+def _copies_decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring copies as decided merges whose winner is the first copy: later pairs of a chain meet a page that is gone or lost."""
+    w = Window.partitionBy("text").orderBy("doc_id")
+    d = _t(spark, sf_dir, "documents").withColumns({"b": F.lead("doc_id").over(w), "first": F.min("doc_id").over(Window.partitionBy("text"))}).where("b IS NOT NULL")
+    slug = lambda c: F.concat(F.lit("doc-"), F.col(c).cast("string"))
+    return d.select(F.col("doc_id").alias("ord"), F.lit("concepts").alias("kind_a"), slug("doc_id").alias("slug_a"), F.lit("concepts").alias("kind_b"), slug("b").alias("slug_b"), F.lit("merge").alias("verdict"), slug("first").alias("winner"), F.lit(" one text\n").alias("merged_body"), F.lit("copies").alias("reason"))
+
+
 @query("""
 WITH c AS (SELECT doc_id, lead(doc_id) OVER w AS b, row_number() OVER w AS nth FROM documents WINDOW w AS (PARTITION BY text ORDER BY doc_id))
-SELECT doc_id AS winner, b AS loser FROM c WHERE b IS NOT NULL AND nth = 1 UNION ALL SELECT NULL, NULL WHERE FALSE""")
+SELECT doc_id AS ord, 'doc-' || doc_id AS winner_slug, 'doc-' || b AS loser_slug FROM c WHERE b IS NOT NULL AND nth = 1""")
 def merge_fold_killset(spark, sf_dir):
-    """Neighbouring copies as decided merges whose winner is the first copy: later pairs of a chain meet a page that is gone or lost."""
-    from pyspark.sql import Window
+    return near_pages.killset_fold(_copies_decided(spark, sf_dir)).select("ord", "winner_slug", "loser_slug")
+
+
+_COPIES = """c AS (SELECT doc_id, text, lead(doc_id) OVER w AS b, row_number() OVER w AS nth FROM documents WINDOW w AS (PARTITION BY text ORDER BY doc_id)),
+m AS (SELECT doc_id AS winner, b AS loser FROM c WHERE b IS NOT NULL AND nth = 1)"""
+
+
+@query(f"""WITH {_COPIES}
+SELECT 'concepts' AS kind_dir, 'doc-' || doc_id AS slug, CASE WHEN doc_id IN (SELECT winner FROM m) THEN '2024-02-01' ELSE '2020-01-01' END AS updated,
+  md5(CASE WHEN doc_id IN (SELECT winner FROM m) THEN '# ' || source || chr(10) || chr(10) || '<!-- engine:fact id=' || {_FACT_ID.format(slug="'doc-' || doc_id", summary="'lint-merged@2024-02-01'")} || ' -->' || chr(10) || 'one text' || chr(10) || '<!-- engine:end -->' || chr(10) ELSE text END) AS body
+FROM documents WHERE doc_id NOT IN (SELECT loser FROM m)
+UNION ALL SELECT 'entities', 'doc-' || doc_id, '2020-01-01', md5(text) FROM documents""")
+def apply_merge(spark, sf_dir):
+    """Copies merged, with an entity page of every concept page's slug, which no merge touches."""
+    front = F.to_json(F.array(F.array(F.lit("title"), F.col("source")), F.array(F.lit("updated"), F.lit("2020-01-01")), F.array(F.lit("owner"), F.lit("me"))))
+    d = _t(spark, sf_dir, "documents").select(F.explode(F.array(F.lit("concepts"), F.lit("entities"))).alias("kind_dir"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("slug"), front.alias("front"), F.col("text").alias("body"))
+    left, _, _ = jobs.apply_lint(d, _copies_decided(spark, sf_dir), _now())
+    return left.select("kind_dir", "slug", page_source.front_value("front", "updated").alias("updated"), F.md5(F.col("body").cast("binary")).alias("body"))
+
 
-    d = _t(spark, sf_dir, "documents").withColumn("b", F.lead("doc_id").over(Window.partitionBy("text").orderBy("doc_id")))
-    first = F.min("doc_id").over(Window.partitionBy("text"))
-    decided = d.withColumn("winner", first).where("b IS NOT NULL").select(F.col("doc_id").alias("ord"), F.col("doc_id").alias("a"), "b", F.lit("merge").alias("verdict"), "winner")
-    return spark.createDataFrame([(m["winner"], m["loser"]) for m in near_pages.killset_fold(decided)], "winner long, loser long")
+@query(f"""WITH {_COPIES}
+SELECT c.doc_id AS ord, CASE WHEN nth = 1 THEN 'merge' ELSE 'keep' END AS verdict, nth = 1 AS applied, CASE WHEN nth = 1 THEN 'copies' ELSE 'skipped — one of the pages was merged away earlier in this run' END AS reason
+FROM c WHERE b IS NOT NULL AND nth <= 2 UNION ALL
+SELECT doc_id, 'merge', FALSE, 'copies' FROM c WHERE b IS NOT NULL AND nth > 2""")
+def lint_report(spark, sf_dir):
+    decided = _copies_decided(spark, sf_dir)
+    return near_pages.lint_report(decided, near_pages.killset_fold(decided)).select("ord", "verdict", "applied", "reason")
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'skipped' ELSE 'rewritten' END AS outcome, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE '2024-02-01' END AS updated,
+  md5(CASE WHEN doc_id % 4 = 0 THEN text ELSE 'better ' || doc_id END) AS block FROM documents""")
+def rewrite_fenced(spark, sf_dir):
+    """Responses in code fences, one in four of them a SKIP."""
+    said = F.when(F.col("doc_id") % 4 == 0, "```\nSKIP\n```").otherwise(F.concat(F.lit("```markdown\n\nbetter "), F.col("doc_id").cast("string"), F.lit("\n```\n")))
+    d = _t(spark, sf_dir, "documents")
+    rows = d.select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("slug"), F.lit('[["title", "t"]]').alias("front"), FMT.block(F.lit("b0"), F.lit("x")).alias("block"), "text", said.alias("response"))
+    got = pages.rewrite(rows.withColumn("body", F.concat(F.lit("# t\n\n"), F.replace("block", F.lit("\nx\n"), F.concat(F.lit("\n"), "text", F.lit("\n"))))).drop("block", "text"), _now())
+    body = F.regexp_replace(F.regexp_extract("body", r"(?s)id=\w+ -->\n(.*)\n<!-- engine:end", 1), "", "")
+    return got.select("doc_id", "outcome", page_source.front_value("front", "updated").alias("updated"), F.md5(body.cast("binary")).alias("block"))
 
 
 @query(f"""WITH {_PAGES}, i AS (SELECT *, {_FACT_ID.format(slug="title", summary="'consolidated@2024-02-01'")} AS fid, strpos(body, '<!-- engine:fact') AS s FROM pages0)
@@ -453,6 +503,43 @@ def owned_key_strip(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(kept, lambda e: F.concat(e.k, F.lit("="), e.v)), ";").alias("kept"))
 
 
+_FORM = "trim(regexp_replace(lower({0}), '[-_\\s]+', ' ', 'g'))"
+
+
+@query(f"""WITH f AS (SELECT s_suppkey, CASE WHEN s_nationkey % 2 = 0 THEN 'entities' ELSE 'concepts' END AS kind_dir, lower(s_name) AS slug, md5(CAST(s_suppkey AS VARCHAR)) AS title FROM supplier),
+t AS (SELECT kind_dir, slug, title FROM f WHERE s_suppkey % 3 = 0),
+s AS (SELECT f.s_suppkey, t.slug, greatest(1 - CAST(levenshtein({_FORM.format("f.slug")}, {_FORM.format("t.slug")}) AS DOUBLE) / greatest(length({_FORM.format("f.slug")}), length({_FORM.format("t.slug")})),
+  1 - CAST(levenshtein({_FORM.format("f.title")}, {_FORM.format("t.title")}) AS DOUBLE) / greatest(length({_FORM.format("f.title")}), length({_FORM.format("t.title")}))) AS score FROM f JOIN t ON f.kind_dir = t.kind_dir AND f.slug <> t.slug),
+b AS (SELECT s_suppkey, arg_min(slug, (-score, slug)) AS slug FROM s WHERE score >= 0.75 GROUP BY 1)
+SELECT f.s_suppkey, 'wiki/' || f.kind_dir || '/' || CASE WHEN e.slug IS NOT NULL THEN f.slug ELSE coalesce(b.slug, f.slug) END || '.md' AS target_path, e.slug IS NULL AND b.slug IS NULL AS is_new
+FROM f LEFT JOIN t e ON e.kind_dir = f.kind_dir AND e.slug = f.slug LEFT JOIN b ON b.s_suppkey = f.s_suppkey""")
+def decide(spark, sf_dir):
+    """Suppliers as facts, every third of them a page already."""
+    s = _t(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_nationkey") % 2 == 0, "entity").otherwise("concept").alias("kind"), F.lower("s_name").alias("page_slug"), F.md5(F.col("s_suppkey").cast("string").cast("binary")).alias("page_title"))
+    known = s.where(F.col("s_suppkey") % 3 == 0).select(page_source.kind_dir(F.col("kind")).alias("kind_dir"), F.col("page_slug").alias("slug"), F.col("page_title").alias("title"))
+    got = pages.decide(s.withColumns({"session_id": F.lit("s"), "fact_ord": F.col("s_suppkey").cast("int")}), known)
+    return got.select("s_suppkey", "target_path", "is_new")
+
+
+def _supplier_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    s = _t(spark, sf_dir, "supplier")
+    return s.select(
+        F.lit("s").alias("session_id"), F.col("s_suppkey").cast("int").alias("fact_ord"), F.lit("concept").alias("kind"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("page_slug"),
+        F.md5(F.col("s_nationkey").cast("string").cast("binary")).alias("page_title"), F.col("s_name").alias("summary"), F.concat(F.lit(" by "), "s_name").alias("body_markdown"),
+        F.struct(F.array("s_name").alias("uses"), none.alias("used_by"), none.alias("related"), none.alias("supersedes")).alias("relations"), F.lit(1.0).cast("float").alias("confidence"),
+    )
+
+
+@query(f"""WITH f AS (SELECT s_suppkey, 'n' || s_nationkey AS slug, md5(CAST(s_nationkey AS VARCHAR)) AS title, {_FACT_ID.format(slug="('n' || s_nationkey)", summary="lower(s_name)")} AS fid, s_name FROM supplier)
+SELECT slug, md5('# ' || any_value(title) || chr(10) || chr(10) || string_agg('<!-- engine:fact id=' || fid || ' -->' || chr(10) || 'by ' || s_name || chr(10) || '<!-- engine:end -->', chr(10) || chr(10) ORDER BY s_suppkey) || chr(10)) AS body FROM f GROUP BY slug""")
+def fold_facts(spark, sf_dir):
+    """Suppliers as facts on their nations' pages, all of them new."""
+    facts = _supplier_facts(spark, sf_dir).withColumns({"kind_dir": F.lit("concepts"), "target_slug": F.col("page_slug"), "source": F.lit("[[s]]")})
+    folded = pages.fold_facts(facts, spark.createDataFrame([], pages.PAGE_SCHEMA), "2024-02-01")
+    return folded.select("slug", F.md5(F.col("body").cast("binary")).alias("body"))
+
+
 # ---- runs, times, requests ------------------------------------------------------------------------------------------
 
 
@@ -504,3 +591,22 @@ def request_render(spark, sf_dir):
     template = "Known: {{ existing_topics_count }}\n{{ existing_topics }}Session:\n{{ transcript }}"
     made = requests.build_requests(requests.render_transcripts(messages, calls), known, "system", template, "any", 4096)
     return made.select("session_id", F.md5(F.col("user").cast("binary")).alias("user"))
+
+
+@query("""
+WITH m AS (SELECT conv_id, count(*) AS n, string_agg(chr(10) || '[' || role || '] ' || text, '' ORDER BY turn) AS t FROM conversations WHERE role IN ('user', 'assistant') AND text <> '' AND strlen(text) <= 8192 GROUP BY conv_id),
+w AS (SELECT conv_id, arg_min('/work/' || conv_id, turn) FILTER (role = 'user') AS cwd FROM conversations GROUP BY conv_id)
+SELECT CAST(m.conv_id AS VARCHAR) AS session_id, md5('at most 5 facts' || chr(10) || 'no topics' || chr(10) || 'cwd ' || cwd || chr(10) || n || ' messages:' || t || chr(10)) AS user FROM m JOIN w USING (conv_id)""")
+def template_render(spark, sf_dir):
+    """A template with conditions, a loop, dotted names and a filter over all sessions."""
+    events = turns_as_events(spark, sf_dir).where(F.octet_length(F.coalesce(F.try_variant_get("content", "$[0].text", "string"), F.lit(""))) <= 8192)
+    merged = sessions.merge_snapshots(events)
+    known = requests.session_values(sessions.session_metadata(turns_as_events(spark, sf_dir)), *sessions.reconstruct(merged))
+    template = (
+        "{% if max_facts %}at most {{ max_facts }} facts{% endif %}\n{% if existing_topics_count == 0 %}no topics{% else %}{{ existing_topics }}{% endif %}\n"
+        "{% if transcript.metadata.cwd %}cwd {{ transcript.metadata.cwd }}{% endif %}\n{{ transcript.messages | length }} messages:"
+        "{% for m in transcript.messages %}\n[{{ m.role }}] {{ m.content }}{% if m.tool_calls %} called{% for c in m.tool_calls %} {{ c.name }}{% endfor %}{% endif %}{% endfor %}\n\n"
+    )
+    none = spark.createDataFrame([], "kind_dir string, slug string, title string, summary string")
+    made = requests.build_requests(known, none, "system", template, "any", 4096, max_facts=5)
+    return made.select("session_id", F.md5(F.col("user").cast("binary")).alias("user"))

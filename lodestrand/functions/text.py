@@ -47,7 +47,7 @@ def similar_at_least(a: Column | str, b: Column | str, num: int, den: int) -> Co
 
 
 def _within(a: Column | str, b: Column | str, allowed: Column) -> Column:
-    return F.levenshtein(col(a), col(b)) <= allowed
+    return F.call_function("levenshtein", col(a), col(b), allowed) >= 0
 
 
 def word_set(s: Column | str) -> Column:
@@ -135,7 +135,13 @@ class PageFormat:
 
     @property
     def region(self) -> tuple[str, str]:
-        return f"<!-- {self.mark}:index:start -->", f"<!-- {self.mark}:index:end -->"
+        return f"<!-- {self.mark.upper()}-INDEX-START -->", f"<!-- {self.mark.upper()}-INDEX-END -->"
+
+    @property
+    def new_index(self) -> str:
+        """An index file before its first region is written."""
+        start, end = self.region
+        return f"# Index\n\n{start}\n{end}\n\n## My notes\n\n<!-- Anything below this line is yours. {self.mark.capitalize()} will not touch it. -->\n"
 
     @property
     def pattern(self) -> str:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrand.functions.text import ASSISTANT_CAP, TOOL_INPUT_CAP, TOOL_OUTPUT_CAP, USER_CAP, json_object_in, truncate_bytes, unfence
 from lodestrand.sources.pages import KIND_DIRS
@@ -43,20 +46,151 @@ def render_transcripts(messages: DataFrame, calls: DataFrame) -> DataFrame:
     return rows.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_rank", "line_no", "text"))), lambda x: x.text), "\n").alias("transcript"))
 
 
-def fill(template: str, **values: Column) -> Column:
-    """A template with {{ name }} replaced by columns, from left to right."""
-    import re
+_MARK = re.compile(r"(\{\{.*?\}\}|\{%.*?%\})", re.S)
+_TAG = re.compile(r"\{%-?\s*(if|elif|else|endif|for|endfor)\b\s*(.*?)\s*-?%\}", re.S)
+_TEST = re.compile(r"(not\s+)?([\w.]+)\s*(?:\|\s*(length)\s*)?(?:(==|!=|<=|>=|<|>)\s*(.+))?")
 
-    parts: list[Column] = []
-    for i, piece in enumerate(re.split(r"\{\{\s*(\w+)\s*\}\}", template)):
-        parts.append(F.coalesce(values[piece].cast("string"), F.lit("")) if i % 2 else F.lit(piece))
-    return F.concat(*parts)
 
+def _typed(c: Column, kinds: dict[str, T.DataType], path: str) -> tuple[Column, T.DataType]:
+    """A dotted name as a column, and its type. Names that aren't there are null."""
+    first, *rest = path.split(".")
+    if first not in kinds:
+        return F.lit(None).cast("string"), T.StringType()
+    column, kind = c[first], kinds[first]
+    for field in rest:
+        if not isinstance(kind, T.StructType) or field not in kind.names:
+            return F.lit(None).cast("string"), T.StringType()
+        column, kind = column[field], kind[field].dataType
+    return column, kind
 
-def build_requests(transcripts: DataFrame, topics: DataFrame, system: str, user_template: str, model: str, max_tokens: int, op: str = "distil") -> DataFrame:
-    """(request_id, op, session_id, system, user, model, max_tokens): every session with all topics, which are one row."""
-    rows = transcripts.crossJoin(F.broadcast(render_topics(topics)))
-    user = fill(user_template, transcript=F.col("transcript"), existing_topics=F.col("existing_topics"), existing_topics_count=F.col("existing_topics_count"))
+
+class TextTemplate:
+    """A text template as one native expression: {{ name }}, {{ name | length }}, if / elif / else / endif and for / endfor, with
+    dotted names. Null and missing names are empty text; empty text, empty lists, 0 and false count as false. One newline at the end is dropped."""
+
+    def __init__(self, source: str):
+        self.parts, rest = self._read(_MARK.split(source.removesuffix("\n")), ())
+        if rest:
+            raise ValueError(f"template: {rest[0]} without its beginning")
+
+    def _read(self, parts: list[str], until: tuple[str, ...]) -> tuple[list, list[str]]:
+        out: list = []
+        while parts:
+            part, parts = parts[0], parts[1:]
+            if part.startswith("{{"):
+                name, _, filtered = (x.strip() for x in part[2:-2].partition("|"))
+                if filtered not in ("", "length"):
+                    raise ValueError(f"template: unknown filter {filtered}")
+                out.append(("value", name, filtered))
+                continue
+            tag = _TAG.fullmatch(part)
+            if not part.startswith("{%"):
+                out.append(("text", part))
+            elif tag is None:
+                raise ValueError(f"template: unknown tag {part}")
+            elif tag[1] in until:
+                return out, [part, *parts]
+            elif tag[1] == "for":
+                name, inside = re.split(r"\s+in\s+", tag[2])
+                body, parts = self._read(parts, ("endfor",))
+                out.append(("for", name, inside, body))
+                parts = parts[1:]
+            elif tag[1] == "if":
+                branches, test = [], tag[2]
+                while True:
+                    body, parts = self._read(parts, ("elif", "else", "endif"))
+                    branches.append((test, body))
+                    if not parts:
+                        raise ValueError("template: if without endif")
+                    end, parts = _TAG.fullmatch(parts[0]), parts[1:]
+                    if end[1] == "endif":
+                        break
+                    test = end[2] if end[1] == "elif" else None
+                out.append(("if", branches))
+            else:
+                return out, [part, *parts]
+        if until:
+            raise ValueError(f"template: no {until[-1]}")
+        return out, []
+
+    def render(self, **values: tuple[Column, T.DataType]) -> Column:
+        return self._text(self.parts, {k: v for k, (v, _) in values.items()}, {k: t for k, (_, t) in values.items()})
+
+    def _text(self, parts: list, names: dict[str, Column], kinds: dict[str, T.DataType]) -> Column:
+        out = [F.lit("")]
+        for kind, *rest in parts:
+            if kind == "text":
+                out.append(F.lit(rest[0]))
+            elif kind == "value":
+                column, of = _typed(names, kinds, rest[0])
+                shown = (F.size(column) if isinstance(of, T.ArrayType) else F.length(column)) if rest[1] else column
+                out.append(F.coalesce(shown.cast("string"), F.lit("")))
+            elif kind == "for":
+                name, inside, body = rest
+                column, of = _typed(names, kinds, inside)
+                if isinstance(of, T.ArrayType):
+                    out.append(F.coalesce(F.array_join(F.transform(column, self._body(name, body, names, kinds | {name: of.elementType})), ""), F.lit("")))
+            else:
+                chosen = F.lit("")
+                for test, body in reversed(rest[0]):
+                    text = self._text(body, names, kinds)
+                    chosen = text if test is None else F.when(self._holds(test, names, kinds), text).otherwise(chosen)
+                out.append(chosen)
+        return F.concat(*out)
+
+    def _body(self, name: str, body: list, names: dict[str, Column], kinds: dict[str, T.DataType]) -> Callable[[Column], Column]:
+        return lambda x: self._text(body, names | {name: x}, kinds)
+
+    def _holds(self, test: str, names: dict[str, Column], kinds: dict[str, T.DataType]) -> Column:
+        found = _TEST.fullmatch(test.strip())
+        if found is None:
+            raise ValueError(f"template: unknown test {test}")
+        negated, path, length, sign, literal = found.groups()
+        column, of = _typed(names, kinds, path)
+        if length:
+            column, of = F.size(column) if isinstance(of, T.ArrayType) else F.length(column), T.IntegerType()
+        if sign:
+            value = literal.strip()
+            other = F.lit(value[1:-1]) if value[:1] in "\"'" else F.lit(json.loads(value))
+            holds = {"==": column == other, "!=": column != other, "<": column < other, "<=": column <= other, ">": column > other, ">=": column >= other}[sign]
+        elif isinstance(of, T.ArrayType):
+            holds = F.size(column) > 0
+        elif isinstance(of, T.StringType):
+            holds = column != ""
+        elif isinstance(of, T.BooleanType):
+            holds = column
+        elif isinstance(of, T.NumericType):
+            holds = column != 0
+        else:
+            holds = column.isNotNull()
+        holds = F.coalesce(holds, F.lit(False))
+        return ~holds if negated else holds
+
+
+def session_values(metadata: DataFrame, messages: DataFrame, calls: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
+    """(session_id, transcript): what templates know of a session, transcript.session_id, .metadata and .messages, each message with
+    role, content and its tool_calls (name, input, output), all within the byte caps."""
+    cap = {"user_message": USER_CAP, "assistant_message": ASSISTANT_CAP, "tool_use": TOOL_INPUT_CAP, "tool_result": TOOL_OUTPUT_CAP} | (caps or {})
+    order = ["session_id", "source_rank", "line_no"]
+    call = F.struct("call_ord", "name", truncate_bytes(F.coalesce("input", F.lit("{}")), cap["tool_use"]).alias("input"), truncate_bytes("output", cap["tool_result"]).alias("output"))
+    called = calls.groupBy(*order).agg(F.transform(F.array_sort(F.collect_list(call)), lambda x: F.struct(x["name"].alias("name"), x["input"].alias("input"), x["output"].alias("output"))).alias("tool_calls"))
+    content = F.when(F.col("role") == "assistant", truncate_bytes("content", cap["assistant_message"])).otherwise(truncate_bytes("content", cap["user_message"]))
+    rows = messages.select(*order, "role", content.alias("content")).join(called, order, "left")
+    none = F.from_json(F.lit("[]"), "array<struct<name: string, input: string, output: string>>")
+    each = F.struct("source_rank", "line_no", F.struct("role", "content", F.coalesce("tool_calls", none).alias("tool_calls")).alias("m"))
+    said = rows.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["m"]).alias("messages"))
+    about = metadata.select("session_id", F.struct(*[c for c in metadata.columns if c != "session_id"]).alias("metadata"))
+    return said.join(about, "session_id", "left").select("session_id", F.struct("session_id", "metadata", "messages").alias("transcript"))
+
+
+def build_requests(transcripts: DataFrame, topics: DataFrame, system: str, user_template: str, model: str, max_tokens: int, op: str = "distil", **constants) -> DataFrame:
+    """(request_id, op, session_id, system, user, model, max_tokens): every session of transcripts(session_id, transcript) with all topics, which
+    are one row. transcript is a text, or a struct as session_values() gives it; constants are further names of the template."""
+    rows = transcripts.crossJoin(render_topics(topics))  # one row, whatever its size
+    known = {c: (F.col(c), rows.schema[c].dataType) for c in ("transcript", "existing_topics", "existing_topics_count")}
+    kind = {str: T.StringType(), int: T.LongType(), bool: T.BooleanType(), type(None): T.StringType()}
+    known |= {k: (F.lit(v).cast(kind[type(v)]), kind[type(v)]) for k, v in constants.items()}
+    user = TextTemplate(user_template).render(**known)
     made = rows.select(F.lit(op).alias("op"), "session_id", F.lit(system).alias("system"), user.alias("user"), F.lit(model).alias("model"), F.lit(max_tokens).alias("max_tokens"))
     return made.select(F.sha2(F.concat_ws("\0", "op", "system", "user", "model"), 256).alias("request_id"), "*")
 
@@ -109,10 +243,10 @@ def parse_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
 
 
 def parse_verdicts(responses: DataFrame) -> DataFrame:
-    """lint decisions of responses(ord, a, b, text): anything but a valid merge is keep."""
+    """lint decisions of responses(ord, kind_a, slug_a, kind_b, slug_b, text): anything but a valid merge is keep."""
     v = F.try_parse_json(F.coalesce(json_object_in(unfence("text", "json")), F.lit("")))
     get = lambda f: F.try_variant_get("v", f"$.{f}", "string")
-    rows = responses.withColumn("v", v).select("ord", "a", "b", get("decision").alias("decision"), get("winning_slug").alias("winner"), get("merged_body").alias("merged_body"), get("reason").alias("reason"))
+    rows = responses.withColumn("v", v).select("ord", "kind_a", "slug_a", "kind_b", "slug_b", get("decision").alias("decision"), get("winning_slug").alias("winner"), get("merged_body").alias("merged_body"), get("reason").alias("reason"))
     merges = (F.col("decision") == "merge") & F.col("winner").isNotNull() & F.col("merged_body").isNotNull()
     return rows.withColumn("verdict", F.when(F.coalesce(merges, F.lit(False)), "merge").otherwise("keep"))
 

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions.text import PageFormat
 from lodestrand.operators import near_pages, pages, requests, sessions
+from lodestrand.operators.lineage import cut
 from lodestrand.sources import runs, sinks
 from lodestrand.sources.pages import index_entries, log_link, page_path
 
@@ -26,13 +27,17 @@ class Prepared:
     requests: DataFrame
 
 
-def prepare(events: DataFrame, topics: DataFrame, template: runs.Template, skip_paths: list[str] = ()) -> Prepared:
-    """Snapshots merged, sessions in skipped folders left out, and a request per session."""
+def prepare(events: DataFrame, topics: DataFrame, template: runs.Template, skip_paths: list[str] = (), vault_language: str | None = None) -> Prepared:
+    """Snapshots merged, sessions in skipped folders left out, and a request per session, within the template's byte caps."""
     merged = sessions.merge_snapshots(events)
     metadata = sessions.skip_reason(sessions.session_metadata(merged), list(skip_paths)).where("skip_path IS NULL").drop("skip_path")
     merged = merged.join(metadata.select("session_id"), "session_id", "left_semi")
     messages, calls = sessions.reconstruct(merged)
-    made = requests.build_requests(requests.render_transcripts(messages, calls), topics, template.system, template.user, template.model, template.max_tokens)
+    known = requests.session_values(metadata, messages, calls, template.caps)
+    made = requests.build_requests(
+        known, topics, template.system, template.user, template.model or "", template.max_tokens,
+        max_facts=template.max_facts, max_body_chars=template.max_body_chars, vault_language=vault_language,
+    )
     return Prepared(metadata, messages, calls, made)
 
 
@@ -43,31 +48,52 @@ def dry_run(events: DataFrame, template: runs.Template, responses: DataFrame) ->
     return requests.parse_responses(requests.recorded_responses(made.requests, responses).select("session_id", "text"))
 
 
+def stages(prepared: Prepared, responses: DataFrame) -> dict[str, DataFrame]:
+    """What a run passes from stage to stage, by the name of the stage, for looking at."""
+    answered = requests.recorded_responses(prepared.requests, responses)
+    outputs, facts, errors = requests.parse_responses(answered.select("session_id", "text"))
+    return {
+        "metadata": prepared.metadata, "messages": prepared.messages, "tool_calls": prepared.calls, "requests": prepared.requests.select("session_id", "system", "user"),
+        "raw_output": answered.select("session_id", "text"), "outputs": outputs, "facts": facts, "errors": errors,
+    }
+
+
 @dataclass(frozen=True)
 class Ingested:
+    """pages: all pages after the run. log: (ts, ord, title, touched) of every session that wrote. raw: (name, text), a readable copy of
+    every transcript. index: one row, the index file's text. records: a run record per session, with its error if it has one."""
+
     pages: DataFrame
     log: DataFrame
+    raw: DataFrame
+    index: DataFrame
     records: DataFrame
 
 
-def ingest(prepared: Prepared, responses: DataFrame, topics: DataFrame, old_pages: DataFrame, now: Column, today: str, fmt: PageFormat = PageFormat()) -> Ingested:
-    """Facts of all responses resolved and folded into pages; a log row and a run record per session. Facts that resolve to a known page do so as
-    a set; the others in order, since a fact may match a page that one before it makes."""
+def ingest(
+    prepared: Prepared, responses: DataFrame, topics: DataFrame, old_pages: DataFrame, now: Column, today: str, fmt: PageFormat = PageFormat(),
+    transcripts: DataFrame | None = None, existing_index: str | None = None,
+) -> Ingested:
+    """Facts of all responses resolved and folded into pages, as if session after session. A session whose response fails has a record
+    with the error and changes nothing; the others go on. transcripts(session_id, raw) are copied for reading."""
     outputs, facts, errors = requests.parse_responses(requests.recorded_responses(prepared.requests, responses).select("session_id", "text"))
-    decided = pages.decide(facts, topics)
-    known = decided.where(~F.col("is_new")).withColumn("target_slug", F.coalesce("match_slug", "page_slug"))
-    fresh = decided.where("is_new")
-    placed = fresh.join(pages.resolve_new(fresh.select("session_id", "fact_ord", "kind_dir", "page_slug", "page_title"), topics).drop("is_new"), ["session_id", "fact_ord", "kind_dir"])
-    resolved = known.unionByName(placed.select(*known.columns)).withColumn("source", F.concat(F.lit("[["), "session_id", F.lit("]]")))
+    stem = F.concat(sinks.file_stamp(now), F.lit("_"), F.substring("session_id", 1, 12))
+    resolved = pages.resolve(facts, topics).withColumn("source", F.concat(F.lit("[[../raw/sessions/"), stem, F.lit("]]")))
     folded = pages.fold_facts(resolved, old_pages, today, fmt)
     kept = old_pages.select("kind_dir", "slug", "front", "body").join(folded.select("kind_dir", "slug"), ["kind_dir", "slug"], "left_anti")
-    touched = resolved.withColumn("path", log_link(page_path("kind_dir", "target_slug"))).groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("fact_ord", "path"))), lambda x: x.path).alias("touched"))
+    after = folded.unionByName(kept)
+    path = page_path("kind_dir", "target_slug")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("fact_ord", "path"))), lambda x: x.path)
+    touched = resolved.withColumn("path", path).groupBy("session_id").agg(listed.alias("touched"))
     none = F.array().cast("array<string>")
-    log = outputs.join(touched, "session_id", "left").select(now.alias("ts"), F.col("session_id").alias("ord"), "title", F.coalesce("touched", none).alias("touched"))
+    log = outputs.join(touched, "session_id", "left").select(now.alias("ts"), F.col("session_id").alias("ord"), "title", F.transform(F.coalesce("touched", none), log_link).alias("touched"))
+    texts = outputs.select("session_id").join(transcripts, "session_id", "left") if transcripts is not None else outputs.select("session_id", F.lit(None).cast("string").alias("raw"))
+    raw = sinks.raw_copies(texts.withColumn("started_at", now))
+    index = sinks.reindex(index_entries(after), existing_index, fmt)
     records = prepared.metadata.join(touched, "session_id", "left").join(errors, "session_id", "left").select(
         "session_id", now.alias("started_at"), now.alias("finished_at"), F.coalesce("touched", none).alias("touched_pages"), "error", "input_tokens", "output_tokens"
     )
-    return Ingested(folded.unionByName(kept), log, records)
+    return Ingested(after, log, raw, index, records)
 
 
 def replay(prepared: Prepared, responses: DataFrame, listing: DataFrame, topics: DataFrame, old_pages: DataFrame, now: Column, today: str) -> Ingested:
@@ -76,33 +102,45 @@ def replay(prepared: Prepared, responses: DataFrame, listing: DataFrame, topics:
     return ingest(Prepared(only(prepared.metadata), only(prepared.messages), only(prepared.calls), only(prepared.requests)), responses, topics, old_pages, now, today)
 
 
+def progress(listing: DataFrame) -> DataFrame:
+    """listing with the number of each session in the run, from 1, by id, and how many there are. A listing of sessions, not of events."""
+    total = listing.agg(F.count("*").alias("of"))
+    at = F.row_number().over(Window.orderBy("session_id", "path"))
+    return listing.withColumn("n", at).join(total)
+
+
 def lint(topics: DataFrame, responses: DataFrame | None = None, blocked: bool = True) -> tuple[DataFrame, DataFrame | None]:
-    """(pairs, decisions): candidates, and what responses(slug_a, slug_b, text) say of them; a pair without a valid response is kept."""
+    """(pairs, decisions): candidates, and what responses(kind_a, slug_a, kind_b, slug_b, text) say of them; a pair without a valid
+    response is kept."""
     pairs = near_pages.near_pairs_blocked(topics) if blocked else near_pages.near_pairs(topics)
     if responses is None:
         return pairs, None
-    asked = pairs.join(responses, ["slug_a", "slug_b"], "left").select(F.struct(-F.col("score"), "slug_a", "slug_b").alias("ord"), F.col("slug_a").alias("a"), F.col("slug_b").alias("b"), "text")
+    key = ["kind_a", "slug_a", "kind_b", "slug_b"]
+    asked = pairs.join(responses, key, "left").select(F.struct((-F.col("score")).alias("by_score"), "slug_a", "slug_b", "kind_a", "kind_b").alias("ord"), *key, "text")
     return pairs, requests.parse_verdicts(asked)
 
 
-def apply_lint(old_pages: DataFrame, decisions: DataFrame, now: Column, fmt: PageFormat = PageFormat()) -> DataFrame:
-    """Pages after the merges, in order; a page that a merge removed takes part in none after it."""
-    done = near_pages.killset_fold(decisions.select("ord", "a", "b", "verdict", "winner"))
-    spark = old_pages.sparkSession
-    merges = spark.createDataFrame([(i, m["winner"], m["loser"]) for i, m in enumerate(done)], "ord long, winner string, loser string")
-    pair = decisions.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "merged_body")
-    return pages.apply_merges(old_pages, merges.join(pair, (F.least("winner", "loser") == F.col("x")) & (F.greatest("winner", "loser") == F.col("y"))).drop("x", "y"), now, fmt)
+def apply_lint(old_pages: DataFrame, decisions: DataFrame, now: Column, fmt: PageFormat = PageFormat()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pages, log, report) after the merges, in order; a page that a merge removed takes part in none after it."""
+    merges = cut(near_pages.killset_fold(decisions).join(decisions.select("ord", "merged_body", "reason"), "ord"))
+    left, log = pages.apply_merges(old_pages, merges, now, fmt)
+    return left, log, near_pages.lint_report(decisions, merges)
 
 
 def audit(old_pages: DataFrame, responses: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     return pages.audit(old_pages, requests.parse_audits(responses), now)
 
 
+def audit_report(verdicts: DataFrame) -> DataFrame:
+    """Verdicts page by page, by slug."""
+    return verdicts.select("slug", "kind_dir", "verdict", "reason").orderBy("slug", "kind_dir")
+
+
 def verdict_report(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("verdict").count().orderBy("verdict")
 
 
-def reindex(parsed_pages: DataFrame, existing: str, fmt: PageFormat = PageFormat()) -> str:
+def reindex(parsed_pages: DataFrame, existing: str | None, fmt: PageFormat = PageFormat()) -> str:
     return sinks.reindex(index_entries(parsed_pages), existing, fmt).first()["text"]
 
 

@@ -16,7 +16,6 @@ from lodestrand.functions.text import PageFormat
 #: Fixed values.
 KIND_DIRS = {"entity": "entities", "concept": "concepts", "decision": "concepts", "gotcha": "concepts"}
 OWNED_KEYS = ("title", "type", "tags", "created", "updated", "sources", "relations")
-_FRONT = r"(?s)\A---\r?\n(.*?)(?:\r?\n)?---[ \t]*(?:\r?\n|\z)(.*)\z"
 
 
 def kind_dir(kind: Column) -> Column:
@@ -94,6 +93,17 @@ def front_value(front: Column | str, key: str) -> Column:
     return F.get(F.get(F.filter(entries, lambda e: F.get(e, F.lit(0)) == key), F.lit(0)), F.lit(1))
 
 
+def set_front(front: Column | str, key: str, value: Column) -> Column:
+    """The front-matter with a string value in place of the key's, or at the end. A page without front-matter stays without."""
+    text = F.col(front) if isinstance(front, str) else front
+    entries = F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
+    name = lambda e: F.try_variant_get(e, "$[0]", "string")
+    new = F.to_json(F.array(F.lit(key), value))
+    old = F.transform(entries, lambda e: F.when(name(e) == key, new).otherwise(F.to_json(e)))
+    there = F.exists(entries, lambda e: name(e) == key)
+    return F.concat(F.lit("["), F.array_join(F.when(there, old).otherwise(F.concat(old, F.array(new))), ", "), F.lit("]"))
+
+
 def topics(parsed: DataFrame, pages: PageFormat = PageFormat()) -> DataFrame:
     """(kind_dir, slug, title, summary) by slug; blank pages and those with a bad front-matter are left out."""
     rows = parsed.where((F.trim(F.regexp_replace("raw", r"\s+", " ")) != "") & ~F.col("bad_front"))

@@ -55,21 +55,30 @@ class Config:
 
 @dataclass(frozen=True)
 class Template:
-    """A request template; caps are in bytes."""
+    """A request template; caps are in bytes. Limits that no recipe sets are None."""
 
     system: str
     user: str
-    model: str = ""
+    model: str | None = None
     max_tokens: int = 4096
-    max_facts: int = 12
-    max_body_chars: int = 1200
+    max_facts: int | None = None
+    max_body_chars: int | None = None
     caps: dict[str, int] = field(default_factory=dict)
 
     @classmethod
     def parse(cls, base: str, recipe: str | None = None) -> Template:
-        """A base template, with a recipe over it: its model, limits and token bound replace, its extra_system is appended."""
+        """A base template with tables meta, byte_caps and prompt; a recipe over it, with tables meta, overrides and prompt_overrides: its
+        model and token bound replace, its limits are set, and its extra_system is appended as it is."""
         got = tomllib.loads(base)
         over = tomllib.loads(recipe) if recipe else {}
-        system = got["system"] + ("\n\n" + over["extra_system"] if over.get("extra_system") else "")
-        pick = lambda k, default: over.get(k, got.get(k, default))
-        return cls(system, got.get("user_template", ""), pick("model", ""), pick("max_tokens", 4096), pick("max_facts_per_session", 12), pick("max_body_chars", 1200), got.get("byte_caps", {}))
+        meta, limits = got.get("meta", {}) | {k: v for k, v in over.get("meta", {}).items() if k in ("model", "max_tokens")}, over.get("overrides", {})
+        system = got["prompt"]["system"] + over.get("prompt_overrides", {}).get("extra_system", "")
+        return cls(system, got["prompt"]["user_template"], meta.get("model"), meta.get("max_tokens", 4096), limits.get("max_facts_per_session"), limits.get("max_body_chars"), got.get("byte_caps", {}))
+
+    @classmethod
+    def load(cls, folder: str, recipe: str = "default", base: str = "distill") -> Template:
+        """base.toml of a folder, and recipes/<recipe>.toml over it unless that is "default"."""
+        from pathlib import Path
+
+        read = lambda name: Path(folder, f"{name}.toml").read_text(encoding="utf-8")
+        return cls.parse(read(base), None if recipe == "default" else read(f"recipes/{recipe}"))

@@ -33,7 +33,8 @@ def write_atomic(path: str | Path, text: str) -> None:
 
 
 class VersionedTable:
-    """A table whose versions are folders; a pointer file names the current one. Writers check that it hasn't moved."""
+    """A table whose versions are folders. A mark, numbered without gaps, holds the name of its version's folder. A mark is made whole and only
+    if its number is free, so of writers that race for a number one succeeds."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -51,20 +52,43 @@ class VersionedTable:
 
     def read(self) -> DataFrame | None:
         mark = self.current()
-        return None if mark is None else self.spark.read.parquet(f"{self.root}/{mark.split('-', 2)[2]}")
+        if mark is None:
+            return None
+        files, where = self._path(mark)
+        stream = files.open(where)
+        try:
+            name = stream.readUTF()
+        finally:
+            stream.close()
+        return self.spark.read.parquet(f"{self.root}/{name}")
 
     def commit(self, df: DataFrame, expected: str | None) -> str:
         """Writes df as the next version; fails if another writer committed since `expected` was read."""
         name = f"v{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{name}")
-        n = 1 + (int(expected.split("-")[1]) if expected else 0)
-        mark = f"current-{n:012d}-{name}"
-        if self.current() != expected:
+        mark = f"current-{1 + (int(expected.split('-')[1]) if expected else 0):012d}"
+        files, made = self._path(f".mark-{name}")
+        stream = files.create(made, False)
+        stream.writeUTF(name)
+        stream.close()
+        if not self._claim(files, made, self._path(mark)[1]):
+            files.delete(made, False)
             raise RuntimeError("another writer committed first")
-        files, where = self._path(mark)
-        files.create(where, False).close()
         return mark
 
+    def _claim(self, files, made, mark) -> bool:
+        """Gives a finished mark its name, unless the name is taken. A shared store's rename refuses that; a local one replaces, so there
+        a hard link is made, which doesn't."""
+        if files.getScheme() != "file":
+            return not files.exists(mark) and files.rename(made, mark)
+        source, target = (x.toUri().getPath() for x in (made, mark))
+        try:
+            os.link(source, target)
+        except FileExistsError:
+            return False
+        os.unlink(source)
+        return True
+
 
 def new_rows(rows: DataFrame, existing: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """rows split into those with a key in existing and those without."""
@@ -81,8 +105,9 @@ def render_index(entries: DataFrame) -> DataFrame:
     return one.select(F.concat(part("entities"), part("concepts"), F.lit("\n")).alias("inside"))
 
 
-def reindex(entries: DataFrame, existing: str, pages: PageFormat = PageFormat()) -> DataFrame:
-    return render_index(entries).select(pages.replace_region(F.lit(existing), "inside").alias("text"))
+def reindex(entries: DataFrame, existing: str | None, pages: PageFormat = PageFormat()) -> DataFrame:
+    """One row: the index file, or a new one, with its region written anew."""
+    return render_index(entries).select(pages.replace_region(F.lit(pages.new_index if existing is None else existing), "inside").alias("text"))
 
 
 def log_entry(ts: str, title: str, touched: str):
