@@ -195,9 +195,12 @@ def test_tool_calls_cycles_and_schemas(spark):
     )
     results = spark.createDataFrame([(1, "a", 5, "late"), (1, "a", 4, "early"), (1, "zz", 1, "orphan")], "conv_id long, call_id string, turn long, content string")
     got = {r["call_id"]: r for r in tool_calls.link_tool_calls(calls, results, {"f": {"required": {"n": "integer"}}}).collect()}
-    assert set(got) == set("abcd") and (got["a"]["repeats"], got["a"]["level"], got["b"]["level"], got["c"]["level"]) == (2, 0, 1, None)
+    assert set(got) == {*"abcd", "zz"} and not got["zz"]["linked"] and got["zz"]["problems"] == "result without call" and (got["a"]["repeats"], got["a"]["level"], got["b"]["level"], got["c"]["level"]) == (2, 0, 1, None)
     assert got["a"]["record"] == '{"arguments":{"n":1},"depends_on":[],"id":"a","name":"f","result":"late"}'
     assert got["b"]["problems"] == "n is not integer; unexpected z" and got["d"]["problems"] == "arguments are not an object"
+    assert tool_calls.link_tool_calls(calls.limit(0), results.limit(0), {}).count() == 0
+    chain = spark.createDataFrame([(1, str(n), n, "f", "{}", [str(n - 1), str(n // 2)] if n else []) for n in range(6)], calls.schema).withColumn("level", F.lit("clash"))
+    assert [r["level"] for r in tool_calls.link_tool_calls(chain, results, {"f": {}}).where("repeats > 0").orderBy("turn").collect()] == list(range(6))
 
 
 def test_decontamination(spark, empty):
@@ -361,3 +364,64 @@ def test_context_tree_equals_brute_force(spark, rows, monkeypatch):
             m.setattr(context_tree, "FAN_IN", 256 if parts == 1 else 2)
             got = context_tree.language_scores(docs).collect()
         assert sorted(round(g["score"], 4) for g in got) == pytest.approx(want, abs=2e-4)
+
+
+def test_fixity_equals_brute_force(spark):
+    """Null, negative and repeated pages; lost, added, altered and repeated records: a finding each, whatever the ordinals after them."""
+    r = random.Random(5)
+    rows = [(i, f"http://a/{i}", "x" * r.randint(0, 50)) for i in [*range(-1005, -990), *range(40), 2500]] + [(None, f"http://n/{i}", "n") for i in range(8)] + [(None, None, None)] * 3 + [(7, "http://a/7", "twin"), (7, "http://b/7", "other")]
+    schema = "page_id long, url string, html string, archive string"
+    frame = lambda rs: spark.createDataFrame([(*x, "clash") for x in rs], schema)
+    layout = lambda rs: fixity.lay_out(frame(rs))
+    assert fixity.fixity_audit(layout(rows), layout(rows[::-1])).count() == 0
+    gone = [(-1000, "http://a/-1000"), (3, "http://a/3"), (None, "http://n/2")]
+    other = [x for x in rows if x[:2] not in gone]
+    other = [(i, u, h + "!") if (i, u, h) in ((20, "http://a/20", h), (None, "http://n/5", "n")) or h == "twin" else (i, u, h) for i, u, h in other]
+    other.remove((None, None, None))
+    other.append((12, "http://a/new", "new"))
+
+    def want(a, b):
+        out = Counter()
+        for key in {x[:2] for x in a + b}:
+            mine, theirs = (Counter(x[2] or "" for x in t if x[:2] == key) for t in (a, b))
+            lost, come = sum((mine - theirs).values()), sum((theirs - mine).values())
+            out.update({(key[0], "altered"): min(lost, come), (key[0], "missing"): max(0, lost - come), (key[0], "surplus"): max(0, come - lost)})
+        return +out
+
+    def got(a, b):
+        out = Counter()
+        for g in fixity.fixity_audit(layout(a), layout(b)).collect():
+            out[g["page_id"], g["damage"]] += g["copies"]
+            assert (g["archive"] is None) == (g["page_id"] is None) and (g["expected"] is None) == (g["damage"] == "surplus") and (g["found"] is None) == (g["damage"] == "missing")
+        return out
+
+    assert got(rows, other) == want(rows, other) == Counter({(-1000, "missing"): 1, (3, "missing"): 1, (None, "missing"): 2, (20, "altered"): 1, (None, "altered"): 1, (7, "altered"): 1, (12, "surplus"): 1})
+    assert got(rows, []) == want(rows, []) and got([], rows[:5]) == want([], rows[:5]) and not got([], [])
+    placed = {(x["page_id"], x["uri"], x["sha256"]): x for x in layout(rows).collect()}
+    inside = sorted((x["ordinal"], x["start"], x["bytes"] * x["copies"], x["copies"]) for x in placed.values() if x["key"] == "pages 0")
+    assert all(b[0] == a[0] + a[3] and b[1] == a[1] + a[2] for a, b in zip(inside, inside[1:])) and inside[0][:2] == (0, 0)
+
+
+def test_token_counts_query_equals_brute_force(spark):
+    import base64
+
+    import public_tokenizers as public
+    import tiktoken
+
+    def whole(name):  # the whole text at once, without cuts or memory
+        with open(public.path(f"{name}.tiktoken"), "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        return tiktoken.Encoding(name, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    toxic = {g["doc_id"] for g in table(spark, SF, "labels").where("toxic = 1").collect()}
+    want = defaultdict(lambda: [0, 0, 0])
+    encode = {t: whole(t) for t in rollups.TOKENIZERS}
+    for d in table(spark, SF, "documents").collect():
+        if d["doc_id"] not in toxic:
+            text = re.sub(rollups.SIGN_RUNS, r"\1", d["text"] or "")
+            for t in encode:
+                row = want[d["source"], d["lang"], t]
+                for i, n in enumerate((1, len(encode[t](text)), len(text.encode()))):
+                    row[i] += n
+    got = {(g["source"], g["lang"], g["tokenizer"]): [g["docs"], g["tokens"], g["bytes"]] for g in rollups.op6_token_counts(spark, SF).collect()}
+    assert got == dict(want)
