@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import tempfile
 import uuid
 from collections.abc import Callable
 from functools import lru_cache
@@ -20,10 +21,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where it names none, as in tests."""
+    """The shared folder the cluster names; a local one only where it names none and all runs in one process, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 

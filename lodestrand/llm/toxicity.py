@@ -5,8 +5,8 @@ vectors are over all their terms, with document frequencies from all documents,
 `lift_weight` times as much. Examples lie in an inverted index whose postings are cut into blocks of BLOCK examples with the
 greatest weight of each. Terms that more than one in DENSE examples have prune nothing; their rows of the index are full vectors, and
 their part of all cosines is taken for many queries at once. A query bounds every block by the greatest such part and the
-maxima of its other terms, opens blocks by falling bound and stops once no unopened block can reach the k-th best cosine, so its
-neighbours are exact. Terms that no example has are left out of a query's
+maxima of its other terms, and opens only blocks whose bound reaches the k-th greatest such part, which no k-th best cosine is
+below, so its neighbours are exact. Terms that no example has are left out of a query's
 vector: they don't change which examples are nearest. Examples with a cosine of 1 vote alone.
 Votes are weighted by closeness and by how thinly the example's class was sampled, then mapped to frequencies seen when each
 example is scored by the others. All bounds are parameters: the index doesn't grow with the corpus, and is broadcast.
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from .shared import scratch, table, tidy
 
 WORD = re.compile(r"\w+")
-BLOCK, CACHE, RANGE, DENSE, QUERIES = 64, 100_000, 4096, 24, 64
+BLOCK, CACHE, RANGE, DENSE, QUERIES, SLICE = 64, 50_000, 4096, 24, 64, 512
 
 
 def words_of(text: str) -> list[str]:
@@ -92,7 +92,7 @@ class NeighbourIndex:
         prior = every[1] / sum(every) if sum(every) else 0.5
         self.blank_score = (mass[1] + prior) / (sum(mass) + 1)
         self.examples = sorted((x for x in self.examples if len(x[0])), key=lambda x: (rare(x[0]), x[0].tobytes(), x[1], str(x[3])))
-        n = len(self.examples)
+        self.n = n = len(self.examples)
         self.blocks = -(-n // BLOCK)
         sizes = [len(x[0]) for x in self.examples]
         vectors = [self.vector(x[0]) for x in self.examples]
@@ -106,7 +106,7 @@ class NeighbourIndex:
         self.dense, full = np.zeros((len(common), n)), self.column[term] >= 0
         self.dense[self.column[term[full]], where[full]] = weight[full]
         order = np.argsort(np.where(full, -1, term), kind="stable")[full.sum() :]
-        term, self.where, self.weight = term[order], where[order], weight[order]
+        term, self.where, self.weight = term[order], where[order].astype(np.intp), weight[order]
         # An entry for every term and block that has it: where its postings start, and their greatest weight.
         new = np.ones(len(term), bool)
         new[1:] = (term[1:] != term[:-1]) | (self.where[1:] // BLOCK != self.where[:-1] // BLOCK)
@@ -135,56 +135,51 @@ class NeighbourIndex:
         self.memo = {}
         self.__post_init__()
         self.blank_score = blank_score  # examples without a term are gone by now
+        self.examples = []  # their postings are all that queries need
+        tidy()
 
     def vector(self, counts: Iterable[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
         counts = np.asarray(counts, np.int32).reshape(-1, 2)
         w = (1 + np.log(counts[:, 1])) * self.idf[counts[:, 0]]
         return counts[:, 0], w / math.sqrt((w * w).sum()) if len(w) else w
 
-    def common_part(self, queries: list[np.ndarray]) -> np.ndarray:
-        """Of the cosines of some queries, given as term counts, with all examples: what common terms contribute."""
-        part = np.zeros((len(queries), len(self.dense)))
-        for row, counts in zip(part, queries, strict=True):
-            terms, weights = self.vector(counts)
+    def common_part(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Of the cosines of some queries with all examples: what common terms contribute."""
+        part = np.zeros((len(vectors), len(self.dense)))
+        for row, (terms, weights) in zip(part, vectors, strict=True):
             at = self.column[terms]
             row[at[at >= 0]] = weights[at >= 0]
         return part @ self.dense
 
-    def nearest(self, counts: Iterable[tuple[int, int]], k: int, without: int = -1, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest examples with any cosine above 0; equals by number. base: the query's common part."""
-        fs, q = self.vector(counts)
-        base = self.common_part([counts])[0] if base is None else base
+    def nearest(self, counts: Iterable[tuple[int, int]], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and cosines of the k nearest examples with any cosine above 0; equals by number."""
+        vector = self.vector(counts)
+        return self._nearest(vector, self.common_part([vector])[0], k, without)
+
+    def _nearest(self, vector: tuple[np.ndarray, np.ndarray], base: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """base: the query's common part. No cosine is less, so its k-th greatest is the first threshold that blocks must reach."""
+        fs, q = vector
         rare = self.column[fs] < 0
         fs, q = fs[rare], q[rare]
         has = self.first[fs + 1] - self.first[fs]
         entry, part = _ranges(self.first[fs], has), np.repeat(q, has)
         block = self.block[entry]
         bound = np.bincount(block, part * self.block_max[entry], self.blocks) + np.maximum.reduceat(base, self.opens)
-        order = np.argsort(-bound, kind="stable")
-        ids, sims, kth, a, step = np.empty(0, np.int64), np.empty(0), 0.0, 0, 8
-        while a < self.blocks:
-            some = order[a : a + step]
-            some = some[(bound[some] > 0) & (bound[some] >= kth - 1e-12)]
-            if not len(some):
-                break
-            a, step, opened = a + step, 16 * step, np.zeros(self.blocks, bool)
-            opened[some] = True
-            here = opened[block]
-            at, lengths = self.post[entry[here]], self.post[entry[here] + 1] - self.post[entry[here]]
-            at = _ranges(at, lengths)
-            new = np.flatnonzero(np.repeat(opened, BLOCK)[: len(base)])
-            scores = (base + np.bincount(self.where[at], np.repeat(part[here], lengths) * self.weight[at], len(base)))[new]
-            found = (scores > 0) & (scores >= kth - 1e-11) & (new != without)
-            ids, sims = np.concatenate([ids, new[found]]), np.concatenate([sims, scores[found]])
-            if len(ids) > k:
-                near = sims >= np.partition(sims, -k)[-k] - 1e-11
-                ids, sims = ids[near], sims[near]
-                best = np.lexsort((ids, -np.round(sims, 12)))[:k]
-                ids, sims = ids[best], sims[best]
-            if len(ids) == k:
-                kth = sims.min()
-        best = np.lexsort((ids, -np.round(sims, 12)))
-        return ids[best], sims[best]
+        k_all = k + (without >= 0)
+        kth = np.partition(base, -k_all)[-k_all] if len(base) > k_all else 0.0
+        opened = (bound > 0) & (bound >= kth - 1e-12)
+        here = opened[block]
+        entry, part = entry[here], part[here]
+        lengths = self.post[entry + 1] - self.post[entry]
+        at = _ranges(self.post[entry], lengths)
+        scores = base + np.bincount(self.where[at], np.repeat(part, lengths) * self.weight[at], len(base))
+        ids = np.flatnonzero((scores > 0) & (scores >= kth - 1e-11) & np.repeat(opened, BLOCK)[: len(base)])
+        ids = ids[ids != without]
+        if len(ids) > k:
+            sims = scores[ids]
+            ids = ids[sims >= np.partition(sims, -k)[-k] - 1e-11]
+        best = ids[np.lexsort((ids, -np.round(scores[ids], 12)))][:k]
+        return best, scores[best]
 
     def vote(self, ids: np.ndarray, sims: np.ndarray) -> float:
         """The label's share among neighbours, weighted by closeness; the less close all are, the nearer to blank_score.
@@ -198,9 +193,9 @@ class NeighbourIndex:
         """Pool adjacent violators over leave-one-out votes."""
         raw = np.empty(len(self.examples))
         for a in range(0, len(raw), QUERIES):
-            some = [x[0] for x in self.examples[a : a + QUERIES]]
-            for e, (counts, base) in enumerate(zip(some, self.common_part(some), strict=True), a):
-                raw[e] = self.vote(*self.nearest(counts, self.k, e, base))
+            some = [self.vector(x[0]) for x in self.examples[a : a + QUERIES]]
+            for e, (vector, base) in enumerate(zip(some, self.common_part(some), strict=True), a):
+                raw[e] = self.vote(*self._nearest(vector, base, self.k, e))
         blocks: list[list[float]] = []
         for e in np.argsort(raw, kind="stable"):
             blocks.append([self.share[e], self.share[e] * raw[e], self.share[e] * self.label[e]])
@@ -212,7 +207,7 @@ class NeighbourIndex:
     def score(self, queries: list[np.ndarray]) -> list[tuple[float, float, list]]:
         """For each of some term counts: score, greatest cosine and the ids of the five nearest examples."""
         keys = [hashlib.blake2b(c.tobytes(), digest_size=16).digest() for c in queries]
-        if not self.examples:
+        if not self.n:
             return [(self.blank_score, 0.0, [])] * len(queries)
         new = {k: c for k, c in zip(keys, queries, strict=True) if len(c) and k not in self.memo}
         out = {k: self.memo[k] for k in keys if k in self.memo}
@@ -220,9 +215,9 @@ class NeighbourIndex:
             self.memo.clear()
         names = list(new)
         for a in range(0, len(names), QUERIES):
-            some = names[a : a + QUERIES]
-            for key, base in zip(some, self.common_part([new[k] for k in some]), strict=True):
-                ids, sims = self.nearest(new[key], self.k, base=base)
+            vectors = [self.vector(new[k]) for k in names[a : a + QUERIES]]
+            for key, vector, base in zip(names[a:], vectors, self.common_part(vectors)):
+                ids, sims = self._nearest(vector, base, self.k)
                 raw = self.vote(ids, sims)
                 # A little of the raw vote stays in, so that votes within one pooled block keep their order.
                 out[key] = self.memo[key] = 0.98 * float(np.interp(raw, *self.knots)) + 0.02 * raw, float(sims[0]) if len(sims) else 0.0, [self.ids[i] for i in ids[:5]]
@@ -288,6 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     lift = (F.col("b") + 0.5) / pos / ((F.col("a") + 0.5) / neg)
     counts, _ = scratch(counts)
     vocabulary = {t: i for i, t in enumerate(counts.select("term").orderBy("term").toArrow().column(0).to_pylist())}
+    tidy()
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
     often = counts.where("b >= 3")
     # Of so many terms some go with the label by chance; twice the logarithm of their number is what chance alone reaches.
@@ -307,7 +303,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     got = sample.select("id", "text", "y").mapInArrow(extract, schema).toArrow()
     pairs = (np.stack([f.values.to_numpy(), c.values.to_numpy()], axis=1) for f, c in zip(got.column("f"), got.column("c"), strict=True))
     examples = [(x, y, weights[y], i) for x, y, i in zip(pairs, got.column("y").to_pylist(), got.column("id").to_pylist(), strict=True)]
-    return NeighbourIndex(vocabulary, idf, examples, k)
+    del got, pairs
+    index = NeighbourIndex(vocabulary, idf, examples, k)
+    tidy()
+    return index
 
 
 def score_toxicity(docs: DataFrame, index: NeighbourIndex, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -321,18 +320,27 @@ def score_toxicity(docs: DataFrame, index: NeighbourIndex, id_col: str = "doc_id
     if carry:
         out.append(T.StructField("row", docs.schema, False))
 
+    # A carried row holds id and text; sent beside it, they would double what Arrow buffers take.
+    inside = carry and isinstance(docs.schema[text_col].dataType, T.StringType)
+    at_id, at_text = (docs.columns.index(c) for c in (id_col, text_col))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
         features = _Features(index.vocabulary)
-        for batch in batches:
-            got = index.score([term_counts(t or "", features) for t in batch.column(1).to_pylist()])
-            score = [min(1.0, max(0.0, g[0])) for g in got]
-            arrays = [batch.column(0), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.list_(batch.schema.types[0]))]
-            yield pa.RecordBatch.from_arrays([*arrays, *batch.columns[2:]], names=[f.name for f in out])
+        for whole in batches:
+            for a in range(0, len(whole), SLICE):
+                batch = whole.slice(a, SLICE)
+                row = batch.column(0) if inside else None
+                ids, texts = (row.field(at_id), row.field(at_text)) if inside else (batch.column(0), batch.column(1))
+                got = index.score([term_counts(t or "", features) for t in texts.to_pylist()])
+                score = [min(1.0, max(0.0, g[0])) for g in got]
+                arrays = [ids, pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.list_(ids.type))]
+                yield pa.RecordBatch.from_arrays([*arrays, *([row] if inside else batch.columns[2:])], names=[f.name for f in out])
         index.memo.clear()
         tidy()
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("row")] if carry else []))
+    row = F.struct("*").alias("row")
+    picked = docs.select(row) if inside else docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *([row] if carry else []))
     return picked.mapInArrow(run, T.StructType(out)).withColumnRenamed("id", id_col)
 
 
