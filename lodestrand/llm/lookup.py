@@ -2,8 +2,9 @@
 
 Documents are dealt by hash into chunks of some megabytes of text. A chunk asks for the statistic of its distinct 64-bit keys with
 one packed request per key range; each range adds up what all chunks report and answers every chunk in the order it
-asked; the chunk's documents, which the same shuffle still holds, then meet the answers. Chunks and ranges grow in number
-with the corpus, not in size, and a key that every document has costs each range a number per chunk.
+asked; the chunk's documents, which the same shuffle still holds, then meet the answers. Chunks grow in number with the corpus, not
+in size, and so do ranges up to MOST_RANGES; beyond, the chunks are dealt into parts, and a range answers each part in a task of its
+own. A key that every document has costs each range a number per chunk.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import shuffle_partitions
+from .shared import shuffle_partitions, tidy
 
-CHUNK_BYTES, RANGE_BYTES, MOST_RANGES = 8 << 20, 16 << 20, 4096
+CHUNK_BYTES, RANGE_BYTES, MOST_RANGES, FAN_IN = 8 << 20, 16 << 20, 4096, 256
 
 
 def total_bytes(docs: DataFrame, text: str = "text") -> tuple[int, int]:
@@ -66,19 +67,51 @@ def request_rows(chunk: int, keys: np.ndarray, counts: np.ndarray, ranges: int)
     )
 
 
-def answer(requests: DataFrame, value: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(chunk, range, values) for each request: value(keys, totals) of the distinct keys of a range gives one number per key."""
+def _unpack(keys: pa.ChunkedArray, counts: pa.ChunkedArray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    found = [np.frombuffer(x.as_py(), "<u8") for x in keys]
+    return found, [np.frombuffer(x.as_py(), "<u4") if len(x.as_py()) else np.ones(len(k), "<u4") for x, k in zip(counts, found, strict=True)]
+
+
+def answer(requests: DataFrame, value: Callable[[np.ndarray, np.ndarray], np.ndarray], parts: int = 1) -> DataFrame:
+    """(chunk, range, values) for each request: value(keys, totals) of the distinct keys of a range gives one number per key. With several
+    parts, a range's totals are added up from what each part of the chunks reports, in rounds of FAN_IN, and sent to each part."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x.as_py(), "<u8") for x in table["keys"]]
-        counts = [np.frombuffer(x.as_py(), "<u4") if len(x.as_py()) else np.ones(len(k), "<u4") for x, k in zip(table["counts"], keys, strict=True)]
+        keys, counts = _unpack(table["keys"], table["counts"])
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         values = value(distinct, np.bincount(at, np.concatenate(counts), len(distinct)).astype(np.int64))[at]
         ends = np.cumsum([len(k) for k in keys])
         blobs = [values[e - len(k) : e].tobytes() for k, e in zip(keys, ends, strict=True)]
+        tidy()
         return pa.table({"chunk": table["chunk"], "range": table["range"], "values": pa.array(blobs, pa.binary())})
 
-    return requests.groupBy("range").applyInArrow(run, "chunk int, range int, values binary")
+    if parts == 1:
+        return requests.groupBy("range").applyInArrow(run, "chunk int, range int, values binary")
+
+    def add(table: pa.Table) -> pa.Table:
+        keys, counts = _unpack(table["keys"], table["counts"])
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(at, np.concatenate(counts), len(distinct)).astype("<u4")
+        tidy()
+        return pa.table({"range": table["range"][:1], "part": table["part"][:1], "keys": pa.array([distinct.tobytes()], pa.binary()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    def reply(asked: pa.Table, known: pa.Table) -> pa.Table:
+        keys, totals = (x[0] if x else np.empty(0, "<u8") for x in _unpack(known["keys"], known["counts"]))
+        values = value(keys, totals.astype(np.int64))
+        blobs = [values[np.searchsorted(keys, np.frombuffer(x.as_py(), "<u8"))].tobytes() for x in asked["keys"]]
+        tidy()
+        return pa.table({"chunk": asked["chunk"], "range": asked["range"], "values": pa.array(blobs, pa.binary())})
+
+    split = requests.withColumn("part", F.expr(f"chunk % {parts}"))
+    sums, left = split.select("range", "part", "keys", "counts"), parts
+    while True:
+        sums = sums.groupBy("range", "part").applyInArrow(add, "range int, part int, keys binary, counts binary")
+        if left == 1:
+            break
+        left = -(-left // FAN_IN)
+        sums = sums.withColumn("part", F.expr(f"part % {left}"))
+    known = sums.select("range", "keys", "counts", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    return split.groupBy("range", "part").cogroup(known.groupBy("range", "part")).applyInArrow(reply, "chunk int, range int, values binary")
 
 
 def answered(replies: pa.Table, dtype: str, column: str = "values") -> np.ndarray:
@@ -93,6 +126,7 @@ def request(chunks: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray, n
 
     def run(table: pa.Table) -> pa.Table:
         keys, counts = keys_of(table)
+        tidy()
         return request_rows(table["chunk"][0].as_py(), keys, counts, ranges)
 
     return chunks.groupBy("chunk").applyInArrow(run, REQUEST)
@@ -100,4 +134,10 @@ def request(chunks: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray, n
 
 def with_answers(chunks: DataFrame, replies: DataFrame, use: Callable[[pa.Table, pa.Table], pa.Table], schema: T.StructType | str) -> DataFrame:
     """use(documents, replies) of every chunk."""
-    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(use, schema)
+
+    def run(documents: pa.Table, answers: pa.Table) -> pa.Table:
+        out = use(documents, answers)
+        tidy()
+        return out
+
+    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)

@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .lookup import answer, answered, into_chunks, ranges_for, request, total_bytes, with_answers
-from .shared import broadcast_if_small, drop_scratch, scratch, table, text_or_empty
+from .lookup import answer, answered, into_chunks, request, tiles_for, total_bytes, with_answers
+from .shared import broadcast_if_small, drop_scratch, scratch, table, text_or_empty, tidy
 from .shingles import document_shingles, mix
 
 BANDS, ROWS, IDF_SPREAD = 12, 3, 0.1
@@ -109,7 +109,7 @@ SKETCH = T.StructType(
 def sketch(docs: DataFrame) -> tuple[DataFrame, int]:
     """A row per row of docs(id, text): id, digest, a number of its own, band keys and df codes; and the number of rows."""
     n, size = total_bytes(docs)
-    chunks, ranges = into_chunks(docs, size), ranges_for(docs, size)
+    chunks, (ranges, parts) = into_chunks(docs, size), tiles_for(docs, size)
     schema = T.StructType([docs.schema["id"], *SKETCH.fields])
 
     def keys_of(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +135,7 @@ def sketch(docs: DataFrame) -> tuple[DataFrame, int]:
         ]
         return pa.Table.from_arrays(arrays, names=schema.names)
 
-    replies = answer(request(chunks, keys_of, ranges), lambda keys, df: df_code(df))
+    replies = answer(request(chunks, keys_of, ranges), lambda keys, df: df_code(df), parts)
     return scratch(with_answers(chunks, replies, use, schema))[0], n
 
 
@@ -168,6 +168,7 @@ def vectors(texts: DataFrame, n_docs: int, similarity: float) -> DataFrame:
             kinds = [pa.string(), pa.binary(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
             columns = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "vector", "weight", "common", "prefix"])
+        tidy()
 
     return texts.select("node", "text", "codes").mapInArrow(run, schema)
 
@@ -182,6 +183,7 @@ def verify(pairs: DataFrame, vector: DataFrame, similarity: float, n_docs: int)
             sims = np.asarray([weighted_jaccard(x.as_py(), y.as_py(), n_docs) for x, y in zip(batch.column(2), batch.column(3), strict=True)], np.float64)
             table = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims)], names=["a", "b", "similarity"])
             yield table.filter(pa.array(sims >= similarity - 1e-9))
+        tidy()
 
     return rows.select("a", "b", "va", "vb").mapInArrow(run, "a string, b string, similarity double")
 

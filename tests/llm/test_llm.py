@@ -12,7 +12,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrand.llm import context_tree, decontamination, exact_dedup, fixity, near_dedup, packing, rollups, sharding, tool_calls, toxicity
+from lodestrand.llm import context_tree, decontamination, exact_dedup, fixity, lookup, near_dedup, packing, rollups, sharding, tool_calls, toxicity
 from lodestrand.llm.shared import table
 
 SF = "/root/testdata/sf0.001"
@@ -260,7 +260,7 @@ def test_near_groups(docs, empty, rows):
     assert near_dedup.near_groups(empty).count() == 0
 
 
-def test_near_groups_equal_brute_force(spark):
+def test_near_groups_equal_brute_force(spark, monkeypatch):
     """All pairs by weighted Jaccard, on chains of edits, a large group with few unlike copies, and copies."""
     import numpy as np
 
@@ -292,8 +292,13 @@ def test_near_groups_equal_brute_force(spark):
             if near_dedup.weighted_jaccard(packed[i], packed[j], len(texts)) >= 0.8 - 1e-9 and label[i] != label[j]:
                 a, b = sorted((label[i], label[j]))
                 label = [a if x == b else x for x in label]
-    got = {g["doc_id"]: g["class_id"] for g in near_dedup.near_groups(docs).collect()}
-    assert got == dict(enumerate(label))
+    tiles = near_dedup.tiles_for
+    for parts in (1, 3):  # a range answered whole, and in parts of the chunks
+        with monkeypatch.context() as m:
+            m.setattr(near_dedup, "tiles_for", lambda d, s, p=parts: (tiles(d, s)[0], p))
+            m.setattr(near_dedup, "into_chunks", lambda d, s: lookup.into_chunks(d, s, 8 << 10))
+            got = {g["doc_id"]: g["class_id"] for g in near_dedup.near_groups(docs).collect()}
+        assert got == dict(enumerate(label))
     assert 5 < len(set(label[:160])) < 100 and len(set(label[160:172])) < 12
 
 
