@@ -9,7 +9,8 @@ then taken in full, and survivors verified by exact weighted-shingle similarity.
 Items of equal words are one. An item's shingle weighs 1/m if m items have it, scaled so that the item's weights average 1, and a
 window's other shingles weigh 1 each. A window passes by the greater of weighted and plain Jaccard similarity, so that neither
 copies nor overlaps of items lose one that is similar by number of shingles. Items are broadcast while their shingles number less than
-broadcast_shingles; beyond that the joins shuffle, and adaptive execution splits hot keys.
+broadcast_shingles, some 60 bytes each; beyond that the joins shuffle, and adaptive execution splits hot keys. The index of blocks holds
+fingerprints only.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ def prepare_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 20, id_col: str = "doc_id", text_col: str = "text", broadcast_shingles: int = 2_000_000
+    docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 20, id_col: str = "doc_id", text_col: str = "text", broadcast_shingles: int = 500_000
 ) -> DataFrame:
     """One row per document id and item with a window of at least the similarity: id, item_id, start (in words), words, hamming,
     similarity and windows (how many windows passed); start is that of the most similar window, the first of equals.
@@ -105,7 +106,7 @@ def find_leaks(
     windows, _ = scratch(windows.withColumn("window_bits", simhash("window_hashes")))
     key = ["item", "n", "item_bits"]
     blocked = windows.select("id", "body", *key, "start", "window_bits", "window_hashes", _blocks("window_bits", radius).alias("x")).select("*", "x.*").drop("x")
-    indexed = items.select(*[F.col(c).alias(f"i_{c}") for c in key], "hashes", "weights", "weight", _blocks("item_bits", radius).alias("x")).select("*", F.col("x.block").alias("i_block"), F.col("x.bits").alias("i_bits")).drop("x")
+    indexed = items.select(*[F.col(c).alias(f"i_{c}") for c in key], _blocks("item_bits", radius).alias("x")).select("*", F.col("x.block").alias("i_block"), F.col("x.bits").alias("i_bits")).drop("x")
     same = F.col("item").eqNullSafe(F.col("i_item")) & (F.col("n") == F.col("i_n")) & (F.col("item_bits") == F.col("i_item_bits")) & (F.col("block") == F.col("i_block")) & (F.col("bits") == F.col("i_bits"))
     distance = F.bit_count(F.col("window_bits").bitwiseXOR(F.col("item_bits")))
     first_block = F.lit(True)
@@ -113,6 +114,7 @@ def find_leaks(
         agrees = F.expr(f"(shiftrightunsigned(window_bits, {a}) & {(1 << n) - 1}L) = (shiftrightunsigned(item_bits, {a}) & {(1 << n) - 1}L)")
         first_block = first_block & ((F.col("block") <= i) | ~agrees)
     met = blocked.join(near(indexed), same).withColumn("hamming", distance).where((F.col("hamming") <= radius) & first_block)
+    met = met.join(near(items.select("item", "hashes", "weights", "weight")), "item")
     shared = F.expr("aggregate(arrays_zip(hashes, weights), 0D, (s, x) -> s + if(array_contains(window_hashes, x.hashes), x.weights, 0D))")
     extra = F.size(F.array_except("window_hashes", "hashes"))
     plain = F.size(F.array_intersect("window_hashes", "hashes"))
