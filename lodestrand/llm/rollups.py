@@ -92,7 +92,7 @@ TOKENIZERS = ("byte_bpe_50k", "byte_bpe_multi_50k")
 
 
 #: Three or more of one sign in a row, which the clean-up turns into one.
-SIGN_RUNS = r"([^\w\s])\1\1+"
+SIGN_RUNS = r"(?U)([^\w\s])\1\1+"
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -423,7 +423,7 @@ def test_token_counts_query_equals_brute_force(spark):
     encode = {t: whole(t) for t in rollups.TOKENIZERS}
     for d in table(spark, SF, "documents").collect():
         if d["doc_id"] not in toxic:
-            text = re.sub(rollups.SIGN_RUNS, r"\1", d["text"] or "")
+            text = re.sub(rollups.SIGN_RUNS.removeprefix("(?U)"), r"\1", d["text"] or "")
             for t in encode:
                 row = want[d["source"], d["lang"], t]
                 for i, n in enumerate((1, len(encode[t](text)), len(text.encode()))):
