@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import context_tree, decontamination, exact_dedup, fixity, near_dedup, packing, rollups, sharding, tool_calls, toxicity
+from . import context_tree, decontamination, differencing, exact_dedup, fill_middle, fixity, near_dedup, packing, rollups, sharding, spelling, tool_calls, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,6 +18,9 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_lm_scores": context_tree.op9_lm_scores,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "op11_spelling": spelling.op11_spelling,
+    "op12_fill_middle": fill_middle.op12_fill_middle,
+    "op13_differencing": differencing.op13_differencing,
 }
 
-ORACLE_SQL = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_tool_calls": tool_calls.ORACLE, "op7_fixity": fixity.ORACLE}
+ORACLE_SQL = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_tool_calls": tool_calls.ORACLE, "op7_fixity": fixity.ORACLE, "op12_fill_middle": fill_middle.ORACLE}
