@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrand.functions.text import ASSISTANT_CAP, TOOL_INPUT_CAP, TOOL_OUTPUT_CAP, USER_CAP, json_object_in, truncate_bytes, unfence
+from lodestrand.functions.text import ASSISTANT_CAP, TOOL_INPUT_CAP, TOOL_OUTPUT_CAP, USER_CAP, PageFormat, json_object_in, truncate_bytes, unfence
 from lodestrand.sources.pages import KIND_DIRS
+from lodestrand.sources.runs import Template
+from lodestrand.sources.transcripts import once
 
 _RELATIONS = "uses array<string>, `used-by` array<string>, related array<string>, supersedes array<string>"
 
@@ -51,22 +53,32 @@ _TAG = re.compile(r"\{%-?\s*(if|elif|else|endif|for|endfor)\b\s*(.*?)\s*-?%\}",
 _TEST = re.compile(r"(not\s+)?([\w.]+)\s*(?:\|\s*(length)\s*)?(?:(==|!=|<=|>=|<|>)\s*(.+))?")
 
 
-def _typed(c: Column, kinds: dict[str, T.DataType], path: str) -> tuple[Column, T.DataType]:
-    """A dotted name as a column, and its type. Names that aren't there are null."""
+#: What a loop's body knows of its place in the list.
+_LOOP = T.StructType([T.StructField(n, T.IntegerType()) for n in ("index", "index0", "length")] + [T.StructField(n, T.BooleanType()) for n in ("first", "last")])
+
+
+def _loop(inside: Column, i: Column) -> dict[str, Column]:
+    n = F.size(inside)
+    return {"index": i + 1, "index0": i, "length": n, "first": i == 0, "last": i == n - 1}
+
+
+def _typed(c: dict[str, Column], kinds: dict[str, T.DataType], path: str) -> tuple[Column, T.DataType]:
+    """A dotted name as a column, and its type; an error for one that isn't there."""
     first, *rest = path.split(".")
     if first not in kinds:
-        return F.lit(None).cast("string"), T.StringType()
+        raise ValueError(f"template: unknown name {path}")
     column, kind = c[first], kinds[first]
     for field in rest:
         if not isinstance(kind, T.StructType) or field not in kind.names:
-            return F.lit(None).cast("string"), T.StringType()
+            raise ValueError(f"template: unknown name {path}")
         column, kind = column[field], kind[field].dataType
     return column, kind
 
 
 class TextTemplate:
     """A text template as one native expression: {{ name }}, {{ name | length }}, if / elif / else / endif and for / endfor, with
-    dotted names. Null and missing names are empty text; empty text, empty lists, 0 and false count as false. One newline at the end is dropped."""
+    dotted names, in loops also loop.index, .index0, .first, .last and .length. Null is empty text; empty text, empty lists, 0 and false count as
+    false. A name that isn't there is an error. One newline at the end is dropped."""
 
     def __init__(self, source: str):
         self.parts, rest = self._read(_MARK.split(source.removesuffix("\n")), ())
@@ -129,7 +141,7 @@ class TextTemplate:
                 name, inside, body = rest
                 column, of = _typed(names, kinds, inside)
                 if isinstance(of, T.ArrayType):
-                    out.append(F.coalesce(F.array_join(F.transform(column, self._body(name, body, names, kinds | {name: of.elementType})), ""), F.lit("")))
+                    out.append(F.coalesce(F.array_join(F.transform(column, self._body(name, column, body, names, kinds | {name: of.elementType, "loop": _LOOP})), ""), F.lit("")))
             else:
                 chosen = F.lit("")
                 for test, body in reversed(rest[0]):
@@ -138,8 +150,8 @@ class TextTemplate:
                 out.append(chosen)
         return F.concat(*out)
 
-    def _body(self, name: str, body: list, names: dict[str, Column], kinds: dict[str, T.DataType]) -> Callable[[Column], Column]:
-        return lambda x: self._text(body, names | {name: x}, kinds)
+    def _body(self, name: str, inside: Column, body: list, names: dict, kinds: dict[str, T.DataType]) -> Callable[[Column, Column], Column]:
+        return lambda x, i: self._text(body, names | {name: x, "loop": _loop(inside, i)}, kinds)
 
     def _holds(self, test: str, names: dict[str, Column], kinds: dict[str, T.DataType]) -> Column:
         found = _TEST.fullmatch(test.strip())
@@ -195,6 +207,55 @@ def build_requests(transcripts: DataFrame, topics: DataFrame, system: str, user_
     return made.select(F.sha2(F.concat_ws("\0", "op", "system", "user", "model"), 256).alias("request_id"), "*")
 
 
+def _requests(rows: DataFrame, op: str, key: list[str], template: Template, **names: T.DataType) -> DataFrame:
+    """(request_id, op, key columns, system, user, model, max_tokens) of rows with a column for each name of the template."""
+    user = TextTemplate(template.user).render(**{n: (F.col(n), kind) for n, kind in names.items()})
+    made = rows.select(F.lit(op).alias("op"), *key, F.lit(template.system).alias("system"), user.alias("user"), F.lit(template.model or "").alias("model"), F.lit(template.max_tokens).alias("max_tokens"))
+    return made.select(F.sha2(F.concat_ws("\0", "op", "system", "user", "model"), 256).alias("request_id"), "*")
+
+
+PAIR = ["kind_a", "slug_a", "kind_b", "slug_b"]
+
+
+def lint_requests(pairs: DataFrame, pages: DataFrame, template: Template) -> DataFrame:
+    """A request for each of pairs(kind_a, slug_a, kind_b, slug_b, title_a, title_b) whose pages(kind_dir, slug, text) are both there, with their whole
+    texts, front-matter included.
+
+    Pairs travel as keys and sizes first. Then the shorter text of a pair comes to it, and goes with it to the longer one, which is moved
+    once however many pairs its page is in. Keys of pages are distinct.
+    """
+    key = ["kind_dir", "slug"]
+    sizes = pages.select(*key, F.octet_length("text").alias("size"))
+    side = lambda df, x, **more: df.withColumnsRenamed({"kind_dir": f"kind_{x}", "slug": f"slug_{x}"} | {c: n for c, n in more.items()})
+    sized = pairs.select(*PAIR, "title_a", "title_b").join(side(sizes, "a", size="size_a"), ["kind_a", "slug_a"]).join(side(sizes, "b", size="size_b"), ["kind_b", "slug_b"])
+    end = lambda x: F.struct(F.col(f"kind_{x}").alias("kind_dir"), F.col(f"slug_{x}").alias("slug"))
+    a_first = F.col("size_a") <= F.col("size_b")
+    ends = sized.select(*PAIR, "title_a", "title_b", a_first.alias("a_first"), F.when(a_first, end("a")).otherwise(end("b")).alias("short"), F.when(a_first, end("b")).otherwise(end("a")).alias("long"))
+    text = lambda name: pages.select(F.struct(*key).alias(name), F.col("text").alias(f"{name}_text"))
+    both = ends.join(text("short"), "short").join(text("long"), "long")
+    rows = both.select(*PAIR, "title_a", "title_b", F.when(F.col("a_first"), F.col("short_text")).otherwise(F.col("long_text")).alias("body_a"), F.when(F.col("a_first"), F.col("long_text")).otherwise(F.col("short_text")).alias("body_b"))
+    return _requests(rows, "lint", PAIR, template, **dict.fromkeys(("slug_a", "slug_b", "title_a", "title_b", "body_a", "body_b"), T.StringType()))
+
+
+def audit_requests(pages: DataFrame, template: Template) -> DataFrame:
+    """A request for each of pages(kind_dir, slug, title, body); page_type is its folder."""
+    rows = pages.withColumn("page_type", F.col("kind_dir"))
+    return _requests(rows, "audit", ["kind_dir", "slug"], template, **dict.fromkeys(("slug", "title", "page_type", "body"), T.StringType()))
+
+
+def consolidate_requests(pages: DataFrame, template: Template, fmt: PageFormat = PageFormat()) -> DataFrame:
+    """A request for each of pages(kind_dir, slug, title, body) of two blocks and more, with the texts of all its blocks."""
+    rows = pages.withColumnRenamed("title", "page_title").withColumn("fragments", fmt.blocks("body")).where(F.size("fragments") >= 2)
+    rows = rows.withColumn("fragments", F.transform("fragments", lambda b: b["body"]))
+    return _requests(rows, "consolidate", ["kind_dir", "slug"], template, page_title=T.StringType(), fragments=T.ArrayType(T.StringType()))
+
+
+def rewrite_requests(pages: DataFrame, template: Template, fmt: PageFormat = PageFormat()) -> DataFrame:
+    """A request for each of pages(kind_dir, slug, title, body) with a block; body is the text of the first."""
+    rows = pages.withColumn("body", F.get(fmt.blocks("body"), F.lit(0))["body"]).where("body IS NOT NULL")
+    return _requests(rows, "rewrite", ["kind_dir", "slug"], template, **dict.fromkeys(("slug", "title", "body"), T.StringType()))
+
+
 def recorded_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """requests with the text and usage recorded for them; null where there is none."""
     return requests.join(responses, "request_id", "left")
@@ -222,22 +283,25 @@ def parse_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     """(outputs, facts, errors) of responses(session_id, text): title and tags; well-formed facts in order, with low_confidence; and the
     sessions whose response isn't an object with a title and a list of facts. Facts of unknown kind or without a field are dropped, one by one."""
     v = F.try_parse_json(F.coalesce(json_object_in(unfence("text", "json")), F.lit("")))
-    rows = responses.select("session_id", v.alias("v"))
+    none = F.array().cast("array<variant>")
     kind = lambda f: F.schema_of_variant(F.try_variant_get("v", f"$.{f}", "variant"))
-    error = F.when(F.col("v").isNull(), "no JSON object").when(~F.coalesce(kind("title") == "STRING", F.lit(False)), "no title").when(~F.coalesce(kind("extracted").startswith("ARRAY"), F.lit(False)), "no list of facts")
-    rows = rows.withColumn("error", error)
+    rows = once(responses.select("session_id", "text"), v=v)
+    rows = once(rows.drop("text"), title_kind=kind("title"), list_kind=kind("extracted"))
+    error = F.when(F.col("v").isNull(), "no JSON object").when(~F.coalesce(F.col("title_kind") == "STRING", F.lit(False)), "no title").when(~F.coalesce(F.col("list_kind").startswith("ARRAY"), F.lit(False)), "no list of facts")
+    rows = once(rows, error=error)
     good = rows.where("error IS NULL")
-    tags = F.filter(F.transform(F.coalesce(F.try_variant_get("v", "$.tags", "array<variant>"), F.array().cast("array<variant>")), lambda t: F.when(F.schema_of_variant(t) == "STRING", F.try_variant_get(t, "$", "string"))), lambda t: t.isNotNull())
+    tags = F.filter(F.transform(F.coalesce(F.try_variant_get("v", "$.tags", "array<variant>"), none), lambda t: F.when(F.schema_of_variant(t) == "STRING", F.try_variant_get(t, "$", "string"))), lambda t: t.isNotNull())
     each = good.select("session_id", F.posexplode(F.try_variant_get("v", "$.extracted", "array<variant>")).alias("fact_ord", "f"))
     text = lambda f: F.when(F.schema_of_variant(F.try_variant_get("f", f"$.{f}", "variant")) == "STRING", F.try_variant_get("f", f"$.{f}", "string"))
-    r = F.from_json(F.to_json(F.try_variant_get("f", "$.relations", "variant")), _RELATIONS)
     names = lambda c: F.coalesce(c, F.array().cast("array<string>"))
-    relations = F.struct(names(r["uses"]).alias("uses"), names(r["used-by"]).alias("used_by"), names(r["related"]).alias("related"), names(r["supersedes"]).alias("supersedes"))
     confidence = F.when(F.try_variant_get("f", "$.confidence", "variant").isNull(), F.lit(1.0)).otherwise(F.try_variant_get("f", "$.confidence", "double")).cast("float")
-    fields = [text(f).alias(n) for f, n in (("type", "kind"), ("page_slug", "page_slug"), ("page_title", "page_title"), ("summary", "summary"), ("body_markdown", "body_markdown"))]
-    facts = each.select("session_id", "fact_ord", *fields, relations.alias("relations"), confidence.alias("confidence"))
+    fields = {n: text(f) for f, n in (("type", "kind"), ("page_slug", "page_slug"), ("page_title", "page_title"), ("summary", "summary"), ("body_markdown", "body_markdown"))}
+    facts = once(each, **fields, r=F.from_json(F.to_json(F.try_variant_get("f", "$.relations", "variant")), _RELATIONS), confidence=confidence)
     needed = ("page_slug", "page_title", "summary", "body_markdown", "confidence")
-    facts = facts.where(F.col("kind").isin(*KIND_DIRS) & ~F.exists(F.array(*[F.col(c).isNull() for c in needed]), lambda x: x))
+    facts = facts.where(F.col("kind").isin(*KIND_DIRS) & F.expr(" AND ".join(f"{c} IS NOT NULL" for c in needed)))
+    r = F.col("r")
+    relations = F.struct(names(r["uses"]).alias("uses"), names(r["used-by"]).alias("used_by"), names(r["related"]).alias("related"), names(r["supersedes"]).alias("supersedes"))
+    facts = facts.select("session_id", "fact_ord", *fields, relations.alias("relations"), "confidence")
     outputs = good.select("session_id", F.try_variant_get("v", "$.title", "string").alias("title"), tags.alias("tags"))
     return outputs, facts.withColumn("low_confidence", F.col("confidence") < 0.5), rows.where("error IS NOT NULL").select("session_id", "error")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrand.functions.paths import canonical, canonical_text
 from lodestrand.sources.transcripts import once
 
 SYNTHETIC_MODEL = "<synthetic>"
@@ -122,6 +123,12 @@ def skip_reason(sessions: DataFrame, skips: list[str]) -> DataFrame:
     return sessions.withColumn("skip_path", out)
 
 
+def skip_canonical(sessions: DataFrame, skips: list[str]) -> DataFrame:
+    """skip_reason() by canonical paths on either side; cwd stays as it was said."""
+    rows = sessions.withColumns({"said": F.col("cwd"), "cwd": canonical("cwd")})
+    return skip_reason(rows, [canonical_text(p) for p in skips]).withColumn("cwd", F.col("said")).drop("said")
+
+
 def pair_last_wins(uses: DataFrame, results: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
     """uses left-joined with the last result of their key."""
     return uses.join(results.groupBy(*key).agg(F.max_by(value, order).alias(value)), key, "left")

@@ -21,13 +21,13 @@ def last_runs(lines: DataFrame, n: int) -> DataFrame:
     return rows.select("line_no", "r.*").orderBy("line_no")
 
 
-def parse_payloads(lines: DataFrame) -> DataFrame:
-    """lines(raw) as payload columns and an error for those that are too large or lack a field; further keys are ignored."""
+def parse_payloads(lines: DataFrame, *keep: str) -> DataFrame:
+    """lines(raw) as payload columns and an error for those that are too large or lack a field, with the columns to keep; further keys are ignored."""
     got = F.from_json("raw", "session_id string, transcript_path string, cwd string, permission_mode string, hook_event_name string, agent_id string, agent_type string")
     rows = lines.withColumn("p", F.when(F.octet_length("raw") <= MAX_PAYLOAD_BYTES, got))
     lacks = F.array_join(F.array_compact(F.array(*[F.when(F.col("p")[f].isNull(), F.lit(f)) for f in PAYLOAD_FIELDS])), ", ")
     error = F.when(F.octet_length("raw") > MAX_PAYLOAD_BYTES, "payload too large").when(lacks != "", F.concat(F.lit("missing "), lacks))
-    return rows.select("p.*", error.alias("error"))
+    return rows.select(*keep, "p.*", error.alias("error"))
 
 
 @dataclass(frozen=True)
@@ -82,3 +82,21 @@ class Template:
 
         read = lambda name: Path(folder, f"{name}.toml").read_text(encoding="utf-8")
         return cls.parse(read(base), None if recipe == "default" else read(f"recipes/{recipe}"))
+
+
+def install_templates(folder: str) -> list[str]:
+    """Writes the package's templates and recipes below a folder of the driver, for the user to edit. Files that are there stay as they are.
+    Gives the names of those written."""
+    from importlib import resources
+    from pathlib import Path
+
+    from lodestrand.sources.sinks import write_atomic
+
+    written = []
+    for part in ("", "recipes"):
+        for entry in sorted(resources.files("lodestrand.prompts").joinpath(part).iterdir(), key=lambda e: e.name):
+            target = Path(folder, part, entry.name)
+            if entry.name.endswith(".toml") and not target.exists():
+                write_atomic(target, entry.read_text(encoding="utf-8"))
+                written.append(f"{part}/{entry.name}".lstrip("/"))
+    return written

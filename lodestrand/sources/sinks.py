@@ -90,6 +90,14 @@ class VersionedTable:
         return True
 
 
+def store_sessions(events: DataFrame, name: str, buckets: int) -> DataFrame:
+    """events as a table of `buckets` files' worth of sessions, each file in the stored order: by session, then timestamp text, nulls last, then
+    position. What windows, groups or joins by session reads it without a shuffle."""
+    rows = events.withColumn("undated", F.col("ts_raw").isNull()).repartition(buckets, "session_id")
+    rows.write.mode("overwrite").bucketBy(buckets, "session_id").sortBy("session_id", "undated", "ts_raw", "source_rank", "line_no").saveAsTable(name)
+    return events.sparkSession.table(name).drop("undated")
+
+
 def new_rows(rows: DataFrame, existing: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """rows split into those with a key in existing and those without."""
     keys = existing.select(*key).distinct()
@@ -127,10 +135,14 @@ def render_log(rows: DataFrame) -> DataFrame:
     return entries.select("day", F.concat(F.lit("## "), "day", F.lit("\n\n"), F.array_join(F.transform("e", lambda x: x.entry), "\n"), F.lit("\n")).alias("section"))
 
 
-def raw_copies(transcripts: DataFrame) -> DataFrame:
-    """(name, text) of transcripts(session_id, started_at, raw): fenced copies for reading; an unreadable transcript is empty."""
+def raw_copies(transcripts: DataFrame, note: str = "Raw session transcript (JSONL).") -> DataFrame:
+    """(name, text) of transcripts(session_id, started_at, raw, title, tags): fenced copies for reading, with the session's title and tags, which
+    live here only; an unreadable transcript is empty."""
     name = F.concat(file_stamp("started_at"), F.lit("_"), F.substring("session_id", 1, 12), F.lit(".md"))
-    return transcripts.select(name.alias("name"), F.concat(F.lit("```jsonl\n"), F.coalesce("raw", F.lit("")), F.lit("\n```\n")).alias("text"))
+    listed = F.array_join(F.transform("tags", lambda t: F.concat(F.lit("\n  - "), t)), "")
+    tags = F.when(F.size("tags") > 0, F.concat(F.lit("tags:"), listed)).otherwise("tags: []")
+    head = F.concat(F.lit("---\ntitle: "), "title", F.lit("\ntype: source\ncreated: "), day("started_at"), F.lit("\n"), tags, F.lit("\n---\n\n# "), "title", F.lit(f"\n\n{note}\n\n"))
+    return transcripts.select(name.alias("name"), F.concat(head, F.lit("```jsonl\n"), F.coalesce("raw", F.lit("")), F.lit("\n```\n")).alias("text"))
 
 
 def next_snapshot(names: DataFrame) -> DataFrame:

@@ -230,7 +230,8 @@ def test_whole_jobs(spark):
     out = jobs.ingest(prepared, answer(said), none, old, now, "2026-05-10", transcripts=spark.createDataFrame([("s-1", "{}")], "session_id string, raw string"))
     written = {r["slug"]: r for r in out.pages.collect()}
     assert set(written) == {"kept", "cache"} and "[[../raw/sessions/2026-05-10T10-30_s-1]]" in written["cache"]["front"]
-    assert tuple(out.raw.first()) == ("2026-05-10T10-30_s-1.md", "```jsonl\n{}\n```\n") and "[[concepts/cache]] · Cache" in out.index.first()["text"] and out.index.first()["text"].startswith("# Index\n")
+    head = "---\ntitle: A session\ntype: source\ncreated: 2026-05-10\ntags: []\n---\n\n# A session\n\nRaw session transcript (JSONL).\n\n"
+    assert tuple(out.raw.first()) == ("2026-05-10T10-30_s-1.md", head + "```jsonl\n{}\n```\n") and "[[concepts/cache]] · Cache" in out.index.first()["text"] and out.index.first()["text"].startswith("# Index\n")
     record = out.records.first()
     assert record["touched_pages"] == ["wiki/concepts/cache.md"] and record["error"] is None and record["input_tokens"] == 3
     assert out.log.first()["touched"] == ["concepts/cache"] and out.log.first()["title"] == "A session"
