@@ -610,3 +610,6 @@ def template_render(spark, sf_dir):
     none = spark.createDataFrame([], "kind_dir string, slug string, title string, summary string")
     made = requests.build_requests(known, none, "system", template, "any", 4096, max_facts=5)
     return made.select("session_id", F.md5(F.col("user").cast("binary")).alias("user"))
+
+
+from lodestrand import catalog_jobs  # noqa: E402, F401  it adds its queries to the tables above
