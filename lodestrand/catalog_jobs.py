@@ -250,13 +250,13 @@ def canonical_path(spark, sf_dir):
 
 
 @query("""
-SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'payload too large' WHEN event_id % 5 = 1 THEN 'missing cwd' WHEN event_id % 5 = 2 THEN 'missing session_id, transcript_path, cwd, hook_event_name' END AS error,
-  CASE WHEN event_id % 5 NOT IN (0, 2) THEN CAST(user_id AS VARCHAR) END AS session_id FROM events""")
+SELECT event_id, CASE WHEN event_id % 1000 = 0 THEN 'payload too large' WHEN event_id % 5 = 1 THEN 'missing cwd' WHEN event_id % 5 = 2 THEN 'missing session_id, transcript_path, cwd, hook_event_name' END AS error,
+  CASE WHEN event_id % 1000 <> 0 AND event_id % 5 <> 2 THEN CAST(user_id AS VARCHAR) END AS session_id FROM events""")
 def payload_check(spark, sf_dir):
-    """Hook payloads: one in five is over a mebibyte, one lacks a field, one is no JSON."""
+    """Hook payloads: one in a thousand is over a mebibyte, one in five lacks a field, one in five is no JSON."""
     n = F.col("event_id") % 5
     whole = F.to_json(F.struct(F.col("user_id").cast("string").alias("session_id"), F.lit("/t").alias("transcript_path"), F.when(n != 1, "/w").alias("cwd"), F.lit("Stop").alias("hook_event_name"), "props"))
-    raw = F.when(n == 0, F.rpad(whole, runs.MAX_PAYLOAD_BYTES + 1, " ")).when(n == 2, F.lit("{oops")).otherwise(whole)
+    raw = F.when(F.col("event_id") % 1000 == 0, F.rpad(whole, runs.MAX_PAYLOAD_BYTES + 1, " ")).when(n == 2, F.lit("{oops")).otherwise(whole)
     return runs.parse_payloads(_t(spark, sf_dir, "events").select("event_id", raw.alias("raw")), "event_id").select("event_id", "error", "session_id")
 
 
