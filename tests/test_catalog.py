@@ -25,8 +25,6 @@ def rows(frame):
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_equals_sql(spark, con, name):
-    if name in ("near_dup_pairs_blocked", "session_metadata"):
-        pytest.skip("covered by test_operators, as these take long to compile")
     ours, theirs = catalog.QUERIES[name](spark, SF).toPandas(), con.sql(catalog.ORACLE_SQL[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert rows(ours) == rows(theirs)
