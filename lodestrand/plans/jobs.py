@@ -62,6 +62,17 @@ def stages(prepared: Prepared, responses: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def dump_stages(prepared: Prepared, responses: DataFrame, folder: str) -> dict[str, str]:
+    """Writes stages() as JSON lines, a folder each, for looking at. A stage that can't be written keeps no other from it; gives the errors by stage."""
+    failed = {}
+    for name, frame in stages(prepared, responses).items():
+        try:
+            frame.write.mode("overwrite").json(f"{folder.rstrip('/')}/{name}")
+        except Exception as e:  # noqa: BLE001  looking at a run mustn't break it
+            failed[name] = str(e)
+    return failed
+
+
 @dataclass(frozen=True)
 class Ingested:
     """pages: all pages after the run. log: (ts, ord, title, touched) of every session that wrote. raw: (name, text), a readable copy of

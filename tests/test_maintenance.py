@@ -213,3 +213,45 @@ def test_fold_in_rounds_equals_the_sequence(spark):
         df = spark.createDataFrame([(n, *a, *b, "merge", w) for n, a, b, w in rows] + [(10_000, "c", "hub", "c", "p1", "keep", "hub")], "ord int, kind_a string, slug_a string, kind_b string, slug_b string, verdict string, winner string")
         want = fold(rows)
         assert {tuple(x) for x in near_pages.killset_fold(df, 10).collect()} == want == {tuple(x) for x in near_pages.killset_fold(df).collect()}
+
+
+# ---- files of sessions and runs -------------------------------------------------------------------------------------
+
+
+def test_sessions_keep_files_until_they_end(spark, tmp_path):
+    from lodestrand.streaming import lifecycle, session_files
+
+    transcript = tmp_path / "t.jsonl"
+    transcript.write_text("é 1\n")
+    settings = json.dumps({"model": "m"})
+
+    def rows(*events):
+        made = [(s, e, f"2026-05-01 10:00:{n:02d}", "2026-05-01 10:00:00", "/w", path, None, settings, snap, [], True) for n, (s, e, path, snap) in enumerate(events)]
+        names = [c.split()[0] for c in lifecycle.ROWS.split(", ")]
+        frame = spark.createDataFrame(made, "session_id string, event string, at string, started_at string, cwd string, transcript_path string, skip_reason string, settings string, snapshot string, snapshots array<string>, open boolean")
+        session_files.keep_files(frame.select(*[F.col(c).cast("timestamp") if c in ("at", "started_at") else F.col(c) for c in names]), str(tmp_path / "cache"))
+
+    there = lambda: sorted(str(p.relative_to(tmp_path / "cache/sessions")) for p in (tmp_path / "cache/sessions").rglob("*") if p.is_file())
+    t = str(transcript)
+    first = [("a", "SessionStart", t, None), ("a", "PreCompact", t, "0001.jsonl"), ("b", "SessionStart", t, None), ("b", "PreCompact", str(tmp_path / "none"), "0001.jsonl"), ("../x", "SessionStart", t, None)]
+    for _ in range(2):  # again, as after a failure
+        rows(*first)
+        assert there() == ["a/resolved.json", "a/snapshots/0001.jsonl", "b/resolved.json"]
+    assert json.loads((tmp_path / "cache/sessions/a/resolved.json").read_text())["model"] == "m" and (tmp_path / "cache/sessions/a/snapshots/0001.jsonl").read_text() == "é 1\n"
+    transcript.write_text("2\n" * 100_000)
+    rows(("a", "PreCompact", f"file://{t}", "0002.jsonl"), ("a", "Stop", t, None), ("b", "Expired", t, None), ("c", "SessionEnd", t, None))
+    assert there() == ["a/resolved.json", "a/snapshots/0001.jsonl", "a/snapshots/0002.jsonl"] and (tmp_path / "cache/sessions/a/snapshots/0002.jsonl").stat().st_size == 200_000
+    rows(("a", "PreCompact", t, "0003.jsonl"), ("a", "SessionEnd", t, None))
+    assert there() == []
+
+
+def test_stages_are_dumped(spark, tmp_path):
+    from lodestrand.sources import transcripts
+
+    events = spark.createDataFrame([(1, json.dumps({"type": "user", "sessionId": "s", "uuid": "u", "message": {"role": "user", "content": "hello"}}))], "line_no int, raw string")
+    ready = jobs.prepare(transcripts.parse_events(events)[0], spark.createDataFrame([], "kind_dir string, slug string, title string, summary string"), runs.Template("S", "{{ transcript.session_id }}"))
+    said = ready.requests.select("request_id", F.lit('{"title": "T", "extracted": []}').alias("text"))
+    assert jobs.dump_stages(ready, said, str(tmp_path / "d")) == {}
+    assert spark.read.json(str(tmp_path / "d/requests")).first()["user"] == "s" and spark.read.json(str(tmp_path / "d/outputs")).first()["title"] == "T"
+    broken = jobs.Prepared(ready.metadata.select(F.raise_error(F.lit("no")).alias("x")), ready.messages, ready.calls, ready.requests)
+    assert list(jobs.dump_stages(broken, said, str(tmp_path / "e"))) == ["metadata"] and spark.read.json(str(tmp_path / "e/raw_output")).count() == 1
