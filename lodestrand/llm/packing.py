@@ -14,12 +14,14 @@ take the item's place, and size. All are numbers up to the capacity, so finding
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,23 +34,28 @@ END_ID = 2
 
 def tokenise_pieces(docs: DataFrame, size: int, id_col: str, text_col: str, tokenizer: str, path: str | None, with_ids: bool) -> DataFrame:
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", kind), *[T.StructField(n, T.LongType()) for n in ("piece", "start", "length", "crc")], *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
+    longs = ["piece", "start", "length", "crc", "task", "repeat"]  # the last two tell repeated rows apart, in whatever order they come
+    schema = T.StructType([T.StructField("id", kind), *[T.StructField(n, T.LongType()) for n in longs], *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer, path), np.asarray([END_ID], "<u4").tobytes()
+        task, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             rows: list[tuple] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = enc.ids(text.as_py() or "") + end
                 n = len(ids) // 4
                 at = n % size or size if n > size else n
+                row = hash((key, n, zlib.crc32(ids)))
+                repeat = seen[row]
+                seen[row] += 1
                 cuts = [0, *range(at, n + 1, size)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     part = ids[4 * a : 4 * b]
-                    rows.append((key, k, a, b - a, zlib.crc32(part), *([part] if with_ids else [])))
-            columns = list(zip(*rows)) if rows else [[]] * (5 + with_ids)
-            names = ["id", "piece", "start", "length", "crc", *(["ids"] if with_ids else [])]
-            types = [batch.schema.types[0], *[pa.int64()] * 4, *([pa.binary()] if with_ids else [])]
+                    rows.append((key, k, a, b - a, zlib.crc32(part), task, repeat, *([part] if with_ids else [])))
+            columns = list(zip(*rows)) if rows else [[]] * (7 + with_ids)
+            names = ["id", *longs, *(["ids"] if with_ids else [])]
+            types = [batch.schema.types[0], *[pa.int64()] * 6, *([pa.binary()] if with_ids else [])]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
         enc.rest()
 
@@ -234,9 +241,9 @@ def pack_documents(
     pieces, _ = scratch(tokenise_pieces(docs, size, id_col, text_col, tokenizer, path, with_ids))
     partial = pieces.where(F.col("length") < size)
     groups = -(-partial.count() // group_pieces) or 1
-    full = pieces.where(F.col("length") == size).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    partial = partial.withColumn("group", F.pmod(F.xxhash64("id", "piece", "length", "crc"), F.lit(groups)))
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    full = pieces.drop("task", "repeat").where(F.col("length") == size).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    partial = partial.withColumn("group", F.pmod(F.xxhash64("id", "piece", "length", "crc", "task", "repeat"), F.lit(groups))).drop("task", "repeat")
+    schema = T.StructType([*pieces.drop("task", "repeat").schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop(columns="group").sort_values(["crc", "length", "start"], kind="stable").reset_index(drop=True)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrand.llm import differencing
+from lodestrand.llm import differencing, packing
 
 
 def by_definition(sizes, windows):
@@ -98,3 +98,10 @@ def test_equal_rows_are_dealt_into_all_groups(spark):
     rows = spark.range(4000, numPartitions=3).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same few words").alias("text"))
     got = differencing.pack_windows(rows, size=64, group_pieces=250).select((F.col("sequence_id") / (1 << 32)).cast("int").alias("g"), "length").groupBy("g").agg(F.count("*").alias("n")).collect()
     assert len(got) == 16 and max(g["n"] for g in got) < 450
+
+
+def test_equal_rows_are_dealt_into_all_groups_of_the_search_too(spark):
+    rows = spark.range(4000, numPartitions=3).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same few words").alias("text"))
+    got = packing.pack_documents(rows, size=64, group_pieces=250)
+    by = got.select((F.col("sequence_id") / (1 << 32)).cast("int").alias("g"), "length").groupBy("g").agg(F.count("*").alias("n")).collect()
+    assert len(by) == 16 and max(g["n"] for g in by) < 450 and got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 64").isEmpty()
