@@ -131,4 +131,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """find_leaks of the whole benchmark in all documents; nulls, repeats, empty tables and extra columns as there."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -82,6 +82,7 @@ def _restored(columns: list[str], text_col: str, whole: bool) -> Column:
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """exact_dedup over all documents, the largest id of equal texts staying; nulls, repeats, empty tables and extra columns as there."""
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
