@@ -62,8 +62,8 @@ def test_lint_requests_hold_whole_files(spark, pages):
     got = made(jobs.maintenance_requests("lint", pages, template, pairs), *requests.PAIR)
     assert got == {(*a, *b): f"{a[1]}/{title[a]}:{file[a]}\n{b[1]}/{title[b]}:{file[b]}" for a in keys for b in keys if a != b}
     # Without pairs, the candidates of the lint job are asked about.
-    near = spark.createDataFrame([("concepts", "atomic-write", "[]", "x"), ("concepts", "atomic-writes", "[]", "y"), ("concepts", "other", "[]", "z")], pages.schema)
-    assert list(made(jobs.maintenance_requests("lint", near, template), "slug_a", "slug_b")) == [("atomic-write", "atomic-writes")]
+    near = spark.createDataFrame([("concepts", "lantern-oil", "[]", "x"), ("concepts", "lantern-oils", "[]", "y"), ("concepts", "other", "[]", "z")], pages.schema)
+    assert list(made(jobs.maintenance_requests("lint", near, template), "slug_a", "slug_b")) == [("lantern-oil", "lantern-oils")]
 
 
 def test_names_that_are_not_there(spark):

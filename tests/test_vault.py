@@ -196,7 +196,7 @@ def state_of(v):
     return pages, rows, seen.index()
 
 
-FACTS = {"one": [("atomic-write", "Atomic write", "first"), ("cache", "Cache", "c")], "two": [("atomic-writes", "Atomic writes", "second"), ("other-thing", "Other thing", "o")]}
+FACTS = {"one": [("lantern-oil", "Lantern oil", "first"), ("cache", "Cache", "c")], "two": [("lantern-oils", "Lantern oils", "second"), ("other-thing", "Other thing", "o")]}
 
 
 def run_archive(spark, v, session, **options):
@@ -210,7 +210,7 @@ def test_transaction_is_all_or_nothing(spark, tmp_path):
     v.load(spark.createDataFrame([("entities", "kept", page_source._entries(TYPED), "k\n")], vault.PAGES))
     run_archive(spark, v, "one")
     pages, rows, index = state_of(v)
-    assert set(pages) == {("entities", "kept"), ("concepts", "atomic-write"), ("concepts", "cache")} and all(len(rows[t]) == 1 for t in ("log", "raw", "records"))
+    assert set(pages) == {("entities", "kept"), ("concepts", "lantern-oil"), ("concepts", "cache")} and all(len(rows[t]) == 1 for t in ("log", "raw", "records"))
     assert "[[concepts/cache]] · Cache" in index and "[[entities/kept]] · A page" in index
     before, marks = sorted(os.listdir(tmp_path / "v")), v.snapshot().folders
 
@@ -241,11 +241,11 @@ def test_racing_archives_leave_what_one_after_the_other_would(spark, tmp_path):
     vault.archive(Slow(spark, raced.root), made, said, now(), "2026-05-10")
     pages, rows, index = state_of(raced)
     # As after "two" and then "one": one page for both spellings, with the winner's slug, the later title, both blocks in order and both sources.
-    assert len(tries) == 2 and set(pages) == {("concepts", "atomic-writes"), ("concepts", "other-thing"), ("concepts", "cache")}
-    front, body = pages["concepts", "atomic-writes"]
-    assert dict(front)["title"] == "Atomic write" and body.index("two second") < body.index("one first")
+    assert len(tries) == 2 and set(pages) == {("concepts", "lantern-oils"), ("concepts", "other-thing"), ("concepts", "cache")}
+    front, body = pages["concepts", "lantern-oils"]
+    assert dict(front)["title"] == "Lantern oil" and body.index("two second") < body.index("one first")
     assert dict(front)["sources"] == ["[[../raw/sessions/2026-05-10T10-30_one]]", "[[../raw/sessions/2026-05-10T10-30_two]]"]
-    assert all(len(rows[t]) == 2 for t in ("log", "raw", "records")) and "[[concepts/atomic-writes]] · Atomic write" in index
+    assert all(len(rows[t]) == 2 for t in ("log", "raw", "records")) and "[[concepts/lantern-oils]] · Lantern oil" in index
     assert raced.vacuum() >= 0 and state_of(raced) == (pages, rows, index)
 
 
