@@ -339,3 +339,32 @@ def test_runs_and_sinks(spark, tmp_path):
         t.commit(spark.range(5), first)
     assert t.read().count() == 4
     assert runs.Config.parse(runs.Config("/v", skip_paths=("/a",)).dump()).skip_paths == ("/a",)
+
+
+def test_best_alike_equals_brute_force_and_leaves_few_to_tiles(spark, monkeypatch):
+    from lodestrand.operators import alike as module
+
+    r = random.Random(3)
+    names = [f"supplier {i:06d}" for i in r.sample(range(3000), 400)] + ["", "a", "ab", "abc", "abcd", "abce", "x" * 70, "x" * 69 + "y", "x" * 90]
+    known = [("e", n, f"s{i % 390:03d}") for i, n in enumerate(names) if i % 3 == 0] + [("e", names[0], "other"), ("c", "abcd", "s1")]
+    asks = [("e", n, f"s{i % 390:03d}" if i % 2 else None) for i, n in enumerate(names)] + [("c", "abcd", "s1"), ("e", None, None)]
+    left = []
+    monkeypatch.setattr(module, "alike", lambda forms, *t, f=module.alike: left.append(forms.where("asks").count()) or f(forms, *t))
+    got = module.best_alike(spark.createDataFrame(asks, "g string, x string, me string"), spark.createDataFrame(known, "g string, y string, slug string"), 3, 4).collect()
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {}
+    for g, x, me in asks:
+        scored = [(-(1 - edits(x, y) / max(len(x), len(y))) if x or y else -1.0, s) for h, y, s in known if h == g and s != me] if x is not None else []
+        best = min((p for p in scored if p[0] <= -0.75), default=None)
+        if best:
+            want[g, x, me] = (round(-best[0], 9), best[1])
+    assert {(p["g"], p["x"], p["me"]): (round(p["score"], 9), p["slug"]) for p in got} == want and len(want) > 300
+    assert left[0] < 100
