@@ -368,3 +368,22 @@ def test_best_alike_equals_brute_force_and_leaves_few_to_tiles(spark, monkeypatc
             want[g, x, me] = (round(-best[0], 9), best[1])
     assert {(p["g"], p["x"], p["me"]): (round(p["score"], 9), p["slug"]) for p in got} == want and len(want) > 300
     assert left[0] < 100
+
+
+def test_alike_rules_out_long_strings_of_one_language(spark):
+    """Prose of one small vocabulary shares most of its characters; only true neighbours are left to the exact distance."""
+    from lodestrand.operators import alike as module
+
+    r = random.Random(5)
+    words = ["".join(r.choice("aeinrst") for _ in range(r.randint(2, 7))) for _ in range(60)]
+    strings = [" ".join(r.choice(words) for _ in range(r.randint(30, 90))) for _ in range(60)]
+    for s in strings[:20]:
+        n = len(s) // 6
+        spots = set(r.sample(range(len(s)), n))
+        strings.append("".join(r.choice(("", "é", c + "x")) if i in spots else c for i, c in enumerate(s)))
+    strings = sorted(set(strings))
+    rows = spark.createDataFrame([("g", s, True, i % 2 == 0) for i, s in enumerate(strings)], "g string, s string, asks boolean, answers boolean")
+    pairs = spark.createDataFrame([(a, b) for a in strings for b in strings[::2] if a != b], "x string, y string")
+    want = {(p["x"], p["y"]) for p in pairs.where(text.similarity("x", "y") >= 0.75).collect()}
+    assert {(p["x"], p["y"]) for p in module.alike(rows, 3, 4).where("x <> y").collect()} == want and len(want) >= 10
+    assert module._met(rows, 3, 4).count() < 3 * len(want)
