@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from lodestrand.functions.text import PageFormat
+from lodestrand.sources.text_files import read_files
 
 #: Fixed values.
 KIND_DIRS = {"entity": "entities", "concept": "concepts", "decision": "concepts", "gotcha": "concepts"}
@@ -88,6 +89,7 @@ def _yaml() -> tuple[type, type]:
     return Loader, Dumper
 
 
+@lru_cache(maxsize=1024)
 def _entries(text: str | None) -> str | None:
     import yaml
 
@@ -100,6 +102,7 @@ def _entries(text: str | None) -> str | None:
         return None
 
 
+@lru_cache(maxsize=1024)
 def _front_text(entries: str | None) -> str | None:
     import yaml
 
@@ -131,9 +134,8 @@ def render_page(front: Column | str, body: Column | str) -> Column:
 
 def read_pages(spark: SparkSession, root: str) -> DataFrame:
     """(kind_dir, slug, raw) of root/wiki/{concepts,entities}/*.md."""
-    files = spark.read.option("pathGlobFilter", "*.md").text([f"{root}/wiki/concepts", f"{root}/wiki/entities"], wholetext=True)
-    path = F.col("_metadata.file_path")
-    return files.select(F.regexp_extract(path, r"/wiki/(\w+)/[^/]+$", 1).alias("kind_dir"), F.regexp_extract(path, r"([^/]+)\.md$", 1).alias("slug"), F.col("value").alias("raw"))
+    files = read_files(spark, [f"{root}/wiki/concepts", f"{root}/wiki/entities"], ".md")
+    return files.select(F.regexp_extract("folder", r"/wiki/(\w+)$", 1).alias("kind_dir"), F.regexp_extract("name", r"^(.+)\.md$", 1).alias("slug"), F.col("text").alias("raw"))
 
 
 def parse_pages(raw_pages: DataFrame) -> DataFrame:
