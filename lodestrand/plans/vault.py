@@ -70,8 +70,12 @@ class Snapshot:
     def appended(self, table: str) -> DataFrame:
         return self._read(table, APPENDED[table])
 
+    def index_rows(self) -> DataFrame | None:
+        """The index as a row (text)."""
+        return self._read("index", "text string") if self.folders.get("index") else None
+
     def index(self) -> str | None:
-        row = self._read("index", "text string").first() if self.folders.get("index") else None
+        row = rows.first() if (rows := self.index_rows()) is not None else None
         return row["text"] if row else None
 
 
@@ -133,7 +137,7 @@ class Vault(sinks.VersionedTable):
             if change.reindex:
                 after = Snapshot(self, None, folders)
                 folders["index"] = []
-                self._put(sinks.reindex(index_entries(as_parsed(after.pages())), seen.index(), self.fmt), own, "index", folders)
+                self._put(sinks.reindex(index_entries(as_parsed(after.pages())), seen.index_rows(), self.fmt), own, "index", folders)
             if len(folders.get("changes", [])) > MOST_CHANGES:
                 after = Snapshot(self, None, {k: folders.get(k, []) for k in ("base", "changes")}).pages()
                 folders |= {"base": [], "changes": []}
@@ -192,9 +196,9 @@ class Vault(sinks.VersionedTable):
         entries = seen.appended("maintenance").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "entry"))), lambda e: e.entry), "").alias("entries"))
         out = out.unionByName(log.join(entries).select(F.lit("wiki/log.md").alias("path"), whole.alias("text")))
         out = out.unionByName(text(seen.appended("raw"), F.concat(F.lit("raw/sessions/"), F.col("name"))))
-        index = seen.index()
+        index = seen.index_rows()
         if index is not None:
-            out = out.unionByName(self.spark.createDataFrame([("wiki/index.md", index)], "path string, text string"))
+            out = out.unionByName(text(index.where("text IS NOT NULL"), F.lit("wiki/index.md")))
         write_files(out, folder)
 
 

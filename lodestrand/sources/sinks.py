@@ -113,9 +113,13 @@ def render_index(entries: DataFrame) -> DataFrame:
     return one.select(F.concat(part("entities"), part("concepts"), F.lit("\n")).alias("inside"))
 
 
-def reindex(entries: DataFrame, existing: str | None, pages: PageFormat = PageFormat()) -> DataFrame:
-    """One row: the index file, or a new one, with its region written anew."""
-    return render_index(entries).select(pages.replace_region(F.lit(pages.new_index if existing is None else existing), "inside").alias("text"))
+def reindex(entries: DataFrame, existing: str | DataFrame | None, pages: PageFormat = PageFormat()) -> DataFrame:
+    """One row: the index file, or a new one, with its region written anew. existing may be a row (text), which then needn't pass the driver."""
+    inside = render_index(entries)
+    if isinstance(existing, DataFrame):
+        both = inside.join(existing.select(F.col("text").alias("old")), F.lit(True), "left")
+        return both.select(pages.replace_region(F.coalesce("old", F.lit(pages.new_index)), "inside").alias("text"))
+    return inside.select(pages.replace_region(F.lit(pages.new_index if existing is None else existing), "inside").alias("text"))
 
 
 def log_entry(ts: str, title: str, touched: str):

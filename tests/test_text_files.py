@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrand.plans import vault
 from lodestrand.sources import pages, text_files
 
 
@@ -27,3 +28,20 @@ def test_files_that_are_no_text(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in got] == [("a.md", "FF78")]
     with pytest.raises(Exception, match="No such file"):
         text_files.read_files(spark, [str(tmp_path / "none")], ".md").collect()
+
+
+def test_the_index_does_not_pass_the_driver(spark, tmp_path, monkeypatch):
+    page = lambda *slugs: spark.createDataFrame([("concepts", s, None, "x") for s in slugs], "kind_dir string, slug string, front string, body string")
+    v = vault.Vault(spark, str(tmp_path / "vault"))
+    v.load(page("a"))
+    before = v.snapshot().index()
+
+    def not_here(self):
+        raise AssertionError("collected")
+
+    with monkeypatch.context() as m:
+        m.setattr(vault.Snapshot, "index", not_here)
+        v.load(page("b"))
+        v.export(str(tmp_path / "out"))
+    after = (tmp_path / "out/wiki/index.md").read_text()
+    assert after == v.snapshot().index() == before.replace("- [[concepts/a]] · a\n", "- [[concepts/a]] · a\n- [[concepts/b]] · b\n")
