@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from lodestrand.functions.text import PageFormat
 from lodestrand.sources.text_files import read_files
@@ -110,19 +107,18 @@ def _front_text(entries: str | None) -> str | None:
     return yaml.dump(found, Dumper=_yaml()[1], allow_unicode=True, sort_keys=False, default_flow_style=False, width=1 << 30) if found else None
 
 
-@pandas_udf(T.StringType())
-def yaml_to_entries(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+# Row by row, as YAML takes far longer than rows do to reach it: workers then hold a hundred rows, not ten thousand, and load no pandas.
+@F.udf(T.StringType(), useArrow=False)
+def yaml_to_entries(text: str | None) -> str | None:
     """YAML mappings as JSON arrays of [key, value], which keep order and types, nested ones included. Null for YAML that is no mapping or doesn't
     parse, repeats a key, or holds what JSON can't: infinite numbers and tagged values."""
-    for series in texts:
-        yield series.map(_entries, na_action=None)
+    return _entries(text)
 
 
-@pandas_udf(T.StringType())
-def entries_to_yaml(entries: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.udf(T.StringType(), useArrow=False)
+def entries_to_yaml(entries: str | None) -> str | None:
     """The other way round; used when pages are exported. Null for none and for no entries."""
-    for series in entries:
-        yield series.map(_front_text, na_action=None)
+    return _front_text(entries)
 
 
 def render_page(front: Column | str, body: Column | str) -> Column:

@@ -45,3 +45,13 @@ def test_the_index_does_not_pass_the_driver(spark, tmp_path, monkeypatch):
         v.export(str(tmp_path / "out"))
     after = (tmp_path / "out/wiki/index.md").read_text()
     assert after == v.snapshot().index() == before.replace("- [[concepts/a]] · a\n", "- [[concepts/a]] · a\n- [[concepts/b]] · b\n")
+
+
+def test_front_matter_reaches_python_by_few_rows(spark):
+    texts = ["a: 1\nb:\n  z: x\n  y: [1, null]\n", "- x\n", "a: .inf\n", "", None]
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string")
+    there = rows.withColumn("e", pages.yaml_to_entries("t"))
+    plan = there._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan  # a hundred rows at a time
+    back = there.withColumn("back", pages.entries_to_yaml("e")).orderBy("n").select("e", "back").collect()
+    assert [tuple(r) for r in back] == [('[["a", 1], ["b", {"z": "x", "y": [1, null]}]]', "a: 1\nb:\n  z: x\n  y:\n  - 1\n  - null\n"), (None, None), (None, None), ("[]", None), (None, None)]
